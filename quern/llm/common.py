@@ -54,7 +54,9 @@ class _Poly:
         self.grow(1 << 10)
 
     def grow(self, n: int) -> None:
-        self.power, self.back = (np.cumprod(np.concatenate([[1], np.full(n, b, dtype=np.uint64)]).astype(np.uint64)) for b in (self.base, self.inverse))
+        steps = np.ones((2, n + 1), dtype=np.uint64)
+        steps[:, 1:] = np.array([[self.base], [self.inverse]], dtype=np.uint64)
+        self.power, self.back = np.cumprod(steps, axis=1)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self.power) < len(data) + 1:
@@ -123,6 +125,28 @@ class Words:
         return out, ok
 
 
+def shingle_sets(words: Words, width: int = 5, seed: int = 1) -> Iterator[np.ndarray]:
+    """For each text its shingle hashes by place, repeats included.
+
+    A text of fewer words than ``width`` has all its words as its one shingle; a text
+    without words has none.
+    """
+    hashes = words.hashes(seed)
+    made, _ = words.windows(hashes, width, seed + 6)
+    base = np.uint64(int(splitmix(1, seed + 6)[0]) | 1)
+    for low, high in zip(words.first[:-1], words.first[1:]):
+        if high - low >= width:
+            yield made[low : high - width + 1]
+        elif high > low:
+            with np.errstate(over="ignore"):
+                total = np.zeros(1, dtype=np.uint64)
+                for h in hashes[low:high]:
+                    total = total * base + h
+            yield mix(total + np.uint64(high - low))
+        else:
+            yield made[:0]
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and where each begins; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

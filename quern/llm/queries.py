@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import crc_mod, table
 
 #: The place of the tokenizers' vocabulary files; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
@@ -56,8 +56,40 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all texts before and after three edits each, only edited regions encoded again."""
+    from quern.llm import edit_counts
+
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    built = edit_counts.build(table(spark, sf_dir, "documents"), path)
+    n = F.length("text").cast("long")
+    made = [(F.floor(n / 4), 7, ""), (F.floor(n / 2), 0, " re-edited "), (F.floor(n * 3 / 4), 5, "X1 y")]
+    edits = F.array(*[F.struct(at.alias("start"), (at + size).alias("end"), F.lit(new).alias("text")) for at, size, new in made])
+    out = edit_counts.edit(built.withColumn("edits", edits), path)
+    return out.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), "pretokens", "reencoded", F.sha2("text", 256).alias("edited_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all texts, learned from labels outside the held-out fifth."""
+    from quern.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))).alias("held_out"), "score", "predicted")
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and their likeness."""
+    from quern.llm import bottomk
+
+    return bottomk.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
+    "op6_toxicity": op6_toxicity,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
 ORACLE_SQL = {
