@@ -78,6 +78,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))).alias("held_out"), "score", "predicted")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts left after removing windows that a smaller document has."""
+    from quern.llm import substring
+
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+bad AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM bad, (SELECT unnest(range(13)) AS j)),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and their likeness."""
     from quern.llm import bottomk
@@ -89,9 +109,11 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
 ORACLE_SQL = {
     "op4_chat_formatting": OP4_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }
