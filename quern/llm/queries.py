@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, table
+from quern.llm.common import crc_mod, keep, table
 
 #: The place of the tokenizers' vocabulary files; a parameter of the queries that need one.
 TOKENIZERS = "/opt/tokenizers"
@@ -69,6 +69,61 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), "pretokens", "reencoded", F.sha2("text", 256).alias("edited_sha256"))
 
 
+#: Domains of sources, and weights of nodes of the tree; nodes that are not named weigh 1.
+DOMAIN_SQL = "CASE WHEN source = 'src0' THEN 'web' WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') THEN 'books' ELSE 'forums' END"
+MIX_WEIGHTS = (("web", None, None, 0.3), ("books", None, None, 0.45), ("forums", None, None, 0.25), *((d, lang, None, w) for d in ("web", "books", "forums") for lang, w in (("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1))))
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 20
+
+
+def mix_weights(spark: SparkSession) -> DataFrame:
+    rows = ", ".join("(" + ", ".join("CAST(NULL AS STRING)" if x is None else repr(x) if isinstance(x, str) else f"CAST({x} AS DOUBLE)" for x in r) + ")" for r in MIX_WEIGHTS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(domain, lang, source, weight)")
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that fill a budget of 0.6 of all tokens by the weights of domains, languages and sources."""
+    from quern.llm import mixing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = keep(mixing.sized(docs, F.expr(DOMAIN_SQL)), "sized")
+    cut = mixing.cuts(rows, mix_weights(spark), MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixing.select(rows, cut, MIX_SEED)
+
+
+def _op5_sql() -> str:
+    given = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, str) else f"CAST({x} AS DOUBLE)" for x in r) + ")" for r in MIX_WEIGHTS)
+    ctes = [
+        f"given(domain, lang, source, weight) AS (VALUES {given})",
+        f"d AS (SELECT doc_id, coalesce({DOMAIN_SQL}, '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents)",
+        f"l0 AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * {MIX_EPOCHS} AS cap FROM d GROUP BY ALL)",
+        f"s0 AS (SELECT *, (SELECT least(CAST(floor(sum(tokens) * CAST({MIX_SHARE} AS DOUBLE)) AS DOUBLE), sum(cap)) FROM l0) AS share FROM l0)",
+    ]
+    levels = ("domain", "lang", "source")
+    for k in (1, 2, 3):
+        path, above, name = ", ".join(levels[:k]), ", ".join(levels[: k - 1]), levels[k - 1]
+        part = f"PARTITION BY {above} " if above else ""
+        meant = " AND ".join([f"g.{c} = n.{c}" for c in levels[:k]] + [f"g.{c} IS NULL" for c in levels[k:]])
+        ctes += [
+            f"n{k} AS (SELECT n.*, greatest(coalesce(g.weight, 1.0), 1e-9) AS w FROM (SELECT {path}, sum(cap) AS cap, max(share) AS given_in FROM s{k - 1} GROUP BY {path}) n LEFT JOIN given g ON {meant})",
+            f"v{k} AS (SELECT *, cap / w AS full_at, (given_in - coalesce(sum(cap) OVER ({part}ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({part}ORDER BY cap / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM n{k})",
+            f"o{k} AS (SELECT *, full_at > lev AS is_open, first_value(CASE WHEN full_at > lev THEN lev END IGNORE NULLS) OVER ({part}ORDER BY full_at, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM v{k})",
+            f"s{k} AS (SELECT s.* EXCLUDE (share), CASE WHEN is_open THEN l * w ELSE o.cap END AS share FROM s{k - 1} s JOIN o{k} o USING ({path}))",
+        ]
+    ctes += [
+        "b AS (SELECT domain, lang, source, tokens, CAST(floor(greatest(share, 0) + 1e-6) AS BIGINT) AS budget FROM s3)",
+        "e AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM b)",
+        f"k AS (SELECT d.*, epochs, budget - epochs * tokens AS rest, md5('{MIX_SEED}:' || epochs || ':' || doc_id) AS key FROM d JOIN e USING (domain, lang, source))",
+        "c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS start FROM k)",
+    ]
+    return (
+        "WITH " + ",
+".join(ctes) + "
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS BIGINT) AS epoch, CAST(least(n_tokens, rest - start) AS BIGINT) AS take_tokens FROM c WHERE start < rest"
+        "
+UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(e AS BIGINT), n_tokens FROM (SELECT *, unnest(range(epochs)) AS e FROM c)"
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all texts, learned from labels outside the held-out fifth."""
     from quern.llm import toxicity
@@ -105,15 +160,25 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies of all texts and the number of each text's links."""
+    from quern.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_mixing_sources": op5_mixing_sources,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_bpe_encoding": op9_bpe_encoding,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL = {
     "op4_chat_formatting": OP4_SQL,
+    "op5_mixing_sources": _op5_sql(),
     "op7_substring_dedup": OP7_SQL,
 }
