@@ -12,6 +12,8 @@ documents are selected by a look at their leaf's cut alone, without a shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +32,14 @@ def order_key(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
-def budgets(leaves: DataFrame, weights: DataFrame, total: Column, max_epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, weights: DataFrame, total: float, max_epochs: int) -> DataFrame:
     """The whole tokens that each leaf (``LEVELS``, ``tokens``) shall give.
 
     ``weights`` has rows (``LEVELS``, ``weight``), null below the node that is meant;
     other nodes weigh 1.  Weights below 1e-9 count as that.
     """
     out = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs)
-    out = out.crossJoin(leaves.agg(F.least(total.cast("double"), F.sum("tokens").cast("double") * max_epochs).alias("_share")))  # one row
+    out = out.withColumn("_share", F.lit(float(total)))
     for depth in range(1, len(LEVELS) + 1):
         path, above = LEVELS[:depth], LEVELS[: depth - 1]
         given = weights.filter(" AND ".join([f"{c} IS NOT NULL" for c in path] + [f"{c} IS NULL" for c in LEVELS[depth:]])).groupBy(*path).agg(F.max("weight").alias("_w"))
@@ -66,7 +68,9 @@ def sized(docs: DataFrame, domain: Column) -> DataFrame:
 def cuts(rows: DataFrame, weights: DataFrame, share: float, max_epochs: int, seed: int) -> DataFrame:
     """For each leaf its ``budget``, ``epochs`` (whole ones), and where the prefix ends: ``cut_key`` and ``cut_tokens``."""
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    total = F.floor(F.sum("tokens") * F.lit(share))
+    leaves = keep(leaves, "leaves")
+    there = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    total = min(math.floor(there * share), there * max_epochs)
     plan = budgets(leaves, weights, total, max_epochs).withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long"))
     plan = keep(plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
     keyed = rows.join(plan.filter("rest > 0").select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("key", order_key(F.col("epochs"), seed))

@@ -116,11 +116,8 @@ def _op5_sql() -> str:
         "c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS start FROM k)",
     ]
     return (
-        "WITH " + ",
-".join(ctes) + "
-SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS BIGINT) AS epoch, CAST(least(n_tokens, rest - start) AS BIGINT) AS take_tokens FROM c WHERE start < rest"
-        "
-UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(e AS BIGINT), n_tokens FROM (SELECT *, unnest(range(epochs)) AS e FROM c)"
+        "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS BIGINT) AS epoch, CAST(least(n_tokens, rest - start) AS BIGINT) AS take_tokens FROM c WHERE start < rest"
+        "\nUNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(e AS BIGINT), n_tokens FROM (SELECT *, unnest(range(epochs)) AS e FROM c)"
     )
 
 
