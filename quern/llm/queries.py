@@ -56,6 +56,24 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose vec_id is divisible by 20."""
+    from quern.llm import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all texts before and after three edits each, only edited regions encoded again."""
     from quern.llm import edit_counts
@@ -165,6 +183,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing_sources": op5_mixing_sources,
@@ -175,6 +194,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL = {
+    "op1_nearest_neighbours": OP1_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op5_mixing_sources": _op5_sql(),
     "op7_substring_dedup": OP7_SQL,
