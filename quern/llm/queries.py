@@ -74,6 +74,15 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_n
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all texts, learned outside the held-out seventh."""
+    from quern.llm import lm
+
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    out = lm.score(table(spark, sf_dir, "documents"), ~held, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all texts before and after three edits each, only edited regions encoded again."""
     from quern.llm import edit_counts
@@ -184,6 +193,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing_sources": op5_mixing_sources,
