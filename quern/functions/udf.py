@@ -18,14 +18,19 @@ def udf(args: Sequence[str], returns: str, name: str | None = None) -> Callable:
     """A function of Arrow arrays; ``register`` makes it known to SQL."""
 
     def make(fn: Callable) -> Callable[..., Column]:
-        made = F.arrow_udf(fn, returns)
+        held: list = []  # made on first use, as it needs a session
+
+        def made_of():
+            if not held:
+                held.append(F.arrow_udf(fn, returns))
+            return held[0]
 
         def call(*columns: str | Column) -> Column:
             if len(columns) != len(args):
                 raise TypeError(f"{fn.__name__} takes {len(args)} columns, not {len(columns)}")
-            return made(*[(F.col(c) if isinstance(c, str) else c).cast(k) for c, k in zip(columns, args)])
+            return made_of()(*[(F.col(c) if isinstance(c, str) else c).cast(k) for c, k in zip(columns, args)])
 
-        call.name, call.register, call.function = name or fn.__name__, lambda spark: spark.udf.register(name or fn.__name__, made), fn
+        call.name, call.register, call.function = name or fn.__name__, lambda spark: spark.udf.register(name or fn.__name__, made_of()), fn
         REGISTERED[call.name] = call
         return call
 
