@@ -199,7 +199,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     _MADE.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
