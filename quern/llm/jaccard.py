@@ -34,9 +34,11 @@ BITS = 512
 #: Standard deviations by which a sketch may underrate a pair that is compared in full.
 SLACK = 5.0
 
-_SEEDS = splitmix(RUNS, 91)
+_FACTORS = splitmix(RUNS, 91) | np.uint64(1)
 _CHUNK = 1 << 18
 _BIT_SHIFT = np.uint64(64 - BITS.bit_length() + 1)
+_BINS = np.arange(BITS)
+_SALT = mix(np.arange(BITS, dtype=np.uint64))
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -44,39 +46,37 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _taken(shingles: np.ndarray, seeds: np.ndarray, branch: float) -> list[np.ndarray]:
-    """For each seed, the new paths of the tokens whose hash is below branch / size."""
+def _taken(shingles: np.ndarray, factors: np.ndarray, branch: float) -> tuple[np.ndarray, np.ndarray]:
+    """Paths of the tokens whose product with a factor (odd, modulo 2**64) is below branch / size, and the factors' numbers.
+
+    Shingle hashes are mixed well already, so a product's high digits serve as a hash.
+    """
     limit = np.uint64(min(2**64 - 1, int(branch / len(shingles) * 2**64)))
     rows = max(1, _CHUNK // len(shingles))
-    out: list[np.ndarray] = []
-    for low in range(0, len(seeds), rows):
-        hashed = mix(shingles[None, :] ^ seeds[low : low + rows, None])
-        out += [h[h <= limit] for h in hashed]
-    return out
+    made, numbers = [], []
+    for low in range(0, len(factors), rows):
+        product = shingles[None, :] * factors[low : low + rows, None]
+        i, j = np.nonzero(product <= limit)
+        made.append(mix(product[i, j] + factors[low + i]))
+        numbers.append(low + i)
+    return np.concatenate(made), np.concatenate(numbers)
 
 
 def paths(shingles: np.ndarray, branch: float = BRANCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First paths, second paths, and of each second path its first one."""
-    one = [mix(p + s) for p, s in zip(_taken(shingles, _SEEDS, branch), _SEEDS)]
-    first = np.unique(np.concatenate(one))
-    two = _taken(shingles, mix(first + np.uint64(17)), branch)
-    return first, np.concatenate([mix(p + f) for p, f in zip(two, first)]) if two else first[:0], np.repeat(first, [len(p) for p in two])
+    first = np.unique(_taken(shingles, _FACTORS, branch)[0])
+    if not len(first):
+        return first, first, first
+    two, number = _taken(shingles, mix(first) | np.uint64(1), branch)
+    return first, two, first[number]
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """One bit of the smallest hash in each of 512 ranges; an empty range takes that of another, chosen by hash."""
+    """One bit of the smallest hash in each of 512 ranges; an empty range takes that of the next one that is not."""
     place = (shingles >> _BIT_SHIFT).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    full = np.full(BITS, -1, dtype=np.int64)
-    full[place[first]] = first
-    empty = np.flatnonzero(full < 0)
-    step, filled = np.uint64(1), full.copy()
-    while len(empty):
-        other = full[(mix(empty.astype(np.uint64) * np.uint64(1000003) + step) % np.uint64(BITS)).astype(np.int64)]
-        filled[empty[other >= 0]] = other[other >= 0]
-        empty, step = empty[other < 0], step + np.uint64(1)
-    salt = mix(np.arange(BITS, dtype=np.uint64))
-    return np.packbits((mix(shingles[filled] ^ salt) & np.uint64(1)).astype(np.uint8)).tobytes()
+    filled = first[np.searchsorted(place[first], _BINS) % len(first)]
+    return np.packbits((mix(shingles[filled] ^ _SALT) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
 def signatures(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
