@@ -7,6 +7,8 @@ done on UTF-8 bytes with numpy, so no Python object is made per word.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,6 +29,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _SEGMENT = 1 << 20
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries have no such function
+    _TRIM = None
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -175,6 +181,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
                 yield batch.slice(low, high - low)
 
 
+def release() -> None:
+    """Give memory that is free in this Python worker back to the machine; Spark keeps workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch, for tables that hold long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -233,6 +247,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hashed_sample(df: DataFrame, n: int, total: int, key: str, *more: str) -> DataFrame:
+    """At most ``n`` of ``total`` rows, those of the smallest hashes of ``key``; ties by ``more``.
+
+    A threshold leaves about a third more rows than that before they are put in order,
+    so what meets in one place is bounded by ``n``, not by the number of partitions.
+    """
+    low = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 40))
+    if total > 2 * n:
+        df = df.filter(low < F.lit(int((1 << 40) * (1.3 * n + 60) / total)))
+    return df.orderBy(low, key, *more).limit(n)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the decimal text of a column, modulo ``n``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_rows, mix, slices
+from quern.llm.common import arrow_rows, mix, release, slices
 
-GROUP_BYTES = 8 << 20
-RANGE_KEYS = 1 << 20
+GROUP_BYTES = 4 << 20
+RANGE_KEYS = 1 << 19
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -45,7 +45,7 @@ def pack(docs: DataFrame, groups: int, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in slices(batches, text, 16 << 20):
+        for batch in slices(batches, text, 8 << 20):
             size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             ids = pa.compute.fill_null(batch.column(at).cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
             with np.errstate(over="ignore"):
@@ -60,10 +60,25 @@ def pack(docs: DataFrame, groups: int, text: str = "text") -> DataFrame:
                 names.append(int(dealt[order[low]]))
                 blobs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "blob"])
+        release()
 
     return docs.mapInArrow(run, "grp long, blob binary")
 
 
+def released(make):
+    """A function of a group that gives its memory back before the next group comes."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = make(*tables)
+        del tables
+        release()
+        return out
+
+    if make.__code__.co_argcount == 2:
+        return lambda a, b: run(a, b)
+    return lambda a: run(a)
+
+
 def unpack(rows: pa.Table) -> pa.Table:
     """The documents of a group's blobs, by ascending ``doc_id``, null last."""
     table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in rows.column("blob")])

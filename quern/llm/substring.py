@@ -12,7 +12,6 @@ the batch's runs are kept there, and runs beyond ``RUNS`` are compacted into one
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +82,7 @@ def _entries(packed: DataFrame, bits: int, width: int) -> DataFrame:
         made = [_run(w.key[a:b], w.least[a:b], w.check[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pa.table([pa.array(part, pa.int64()), pa.array([grp] * len(part), pa.int64()), pa.array(np.diff(cuts)[: len(part)], pa.int64()), pa.array(made, pa.binary())], names=["bucket", "grp", "n", "run"])
 
-    return packed.groupBy("grp").applyInArrow(make, _ENTRIES)
+    return packed.groupBy("grp").applyInArrow(groups.released(make), _ENTRIES)
 
 
 def _answers(entries: DataFrame) -> DataFrame:
@@ -106,7 +105,7 @@ def _answers(entries: DataFrame) -> DataFrame:
                 said.append((grp, rows.column("bucket")[0].as_py(), len(k), np.packbits(hit).tobytes()))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*said), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if said else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=["grp", "bucket", "n", "bits"])
 
-    return entries.groupBy("bucket").applyInArrow(make, "grp long, bucket long, n long, bits binary")
+    return entries.groupBy("bucket").applyInArrow(groups.released(make), "grp long, bucket long, n long, bits binary")
 
 
 def _kept(words: Words, gone: np.ndarray) -> pa.Array:
@@ -142,7 +141,7 @@ def _applied(packed: DataFrame, answers: DataFrame, docs: DataFrame, width: int)
         removed = np.concatenate([[0], np.cumsum(gone)])[w.words.first]
         return table.append_column("kept", _kept(w.words, gone)).append_column("n_words", pa.array(np.diff(w.words.first), pa.int64())).append_column("n_removed", pa.array(np.diff(removed), pa.int64()))
 
-    return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(make, schema)
+    return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(groups.released(make), schema)
 
 
 def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width: int = WINDOW) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_rows, slices
+from quern.llm.common import arrow_rows, hashed_sample, release, slices
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 TRAINING_ROWS = 20_000
@@ -127,16 +127,18 @@ class Channel:
             out.append(read)
         return "".join(reversed(out))
 
-    def features(self, token: str) -> tuple[str, ...]:
+    def features(self, token: str, remember: bool = True) -> tuple[str, ...]:
         """What the classifier sees of a lower-case token."""
         made = self.known.get(token)
         if made is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             word = token.strip(_ENDS)
             if not _PLAIN(word) or _THRICE(word):
                 word = self.restore(token if _THRICE(word) is None and len(word) < 2 else word)
-            made = self.known[token] = tuple(dict.fromkeys(word[:n] for n in (4, 5, 6)) | {"=" + word: None}) if len(word) >= 4 else ("=" + word,) if len(word) == 3 else ()
+            made = tuple(dict.fromkeys(word[:n] for n in (4, 5, 6)) | {"=" + word: None}) if len(word) >= 4 else ("=" + word,) if len(word) == 3 else ()
+            if remember:
+                self.known[token] = made
         return made
 
 
@@ -162,13 +164,13 @@ class Model:
         channel, known, weights = Channel(self.costs), {}, self.weights
 
         def evidence(text: str) -> float:
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             found = []
             for t in tokens(text):
                 w = known.get(t)
                 if w is None:
-                    w = known[t] = max((weights.get(f, 0.0) for f in channel.features(t)), default=0.0)
+                    w = known[t] = max((weights.get(f, 0.0) for f in channel.features(t, False)), default=0.0)
                 if w:
                     found.append(w)
             return sum(sorted(found)[-STRONGEST:])
@@ -193,6 +195,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
             total += trigram_counts(batch.column("text").to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+        release()
 
     rows = _texts(docs).select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SYMBOLS**3)
@@ -211,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, keep_label=None, rows: int = TRAIN
     labels = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if keep_label is not None:
         labels = labels.filter(keep_label)
-    sample = labels.orderBy(F.xxhash64("doc_id"), "toxic").limit(rows)
+    sample = hashed_sample(labels, rows, labels.count(), "doc_id", "toxic")
     model = Model(character_model(docs))
     costs = spark.sparkContext.broadcast(model.costs)
     chosen = _texts(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text")
@@ -227,6 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, keep_label=None, rows: int = TRAIN
                 for f in seen:
                     total[f, toxic] = total.get((f, toxic), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["f", "toxic", "n"])
+        del channel
+        release()
 
     counted = chosen.mapInArrow(count, "f string, toxic int, n long").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("c"))
     best = counted.filter("t >= 3 AND t >= c").orderBy((F.col("c") - F.col("t")), "f").limit(features).toPandas()
@@ -282,6 +287,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, "text"):
             p = model.probability(np.array([evidence(x) for x in batch.column(1).to_pylist()], dtype=float))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        del evidence
+        release()
 
     return _texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -297,5 +304,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, "text"):
             p = model.probability(np.array([evidence(x or "") for x in batch.column("text").to_pylist()], dtype=float))
             yield batch.filter(pa.array(p < 0.5))
+        del evidence
+        release()
 
     return docs.mapInArrow(run, docs.schema)
