@@ -5,7 +5,7 @@ takes every token whose hash falls below ``BRANCH / size``: the same tokens in a
 sets that hold them and are of its size, so alike sets share some.  Sets that took one token
 form a bucket; a bucket of more than ``SMALL`` sets is split again by a second token,
 taken by a hash of the path so far.  Small buckets are compared all with all; what
-is still large then is compared in tiles of ``SMALL`` by ``SMALL`` sets.  In a bucket
+is larger than ``TILE`` is compared in tiles of that many sets by as many.  In a bucket
 sets are compared by sketches of 512 bits first, and sets that may be alike by their
 whole shingle sets.  A pair belongs to the smallest bucket that both sets are in, so
 no pair counts twice and no list of pairs is made.
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import groups
-from quern.llm.common import Words, arrow_rows, drop, keep, mix, shingle_sets, slices, splitmix, text_buffers
+from quern.llm.common import Words, arrow_rows, drop, keep, mix, release, shingle_sets, slices, splitmix, text_buffers
 
 WIDTH, LIKENESS = 5, 0.8
-RUNS, BRANCH, SMALL = 6, 2.0, 512
+RUNS, BRANCH = 6, 2.0
+#: Sets that a bucket may have before it is split by a second token, and sets that are compared with each other at once.
+SMALL, TILE = 2048, 1024
 BITS = 512
 #: Standard deviations by which a sketch may underrate a pair that is compared in full.
 SLACK = 5.0
@@ -96,6 +98,7 @@ def signatures(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataF
                 rows.append((digest(s), len(s), sketch(s), one, two, parent))
             kinds = (pa.binary(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "cls", "size", "sketch", "one", "two", "parent"])
+        release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -115,7 +118,7 @@ def _buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
     return leaves
 
 
-def _tiles(leaves: DataFrame, classes: DataFrame, small: int = SMALL) -> DataFrame:
+def _tiles(leaves: DataFrame, classes: DataFrame, small: int = TILE) -> DataFrame:
     parts = F.ceil(F.col("n") / small).cast("int")
     mine = F.when(parts > 1, F.pmod(F.xxhash64("cls"), parts.cast("long")).cast("int")).otherwise(F.lit(0))
     other = F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
@@ -160,10 +163,16 @@ def _possible(sizes: np.ndarray, sketches: list[bytes], leaves: list, leaf: int,
     """Which pairs of a tile are its own and may be alike: an upper triangular matrix."""
     n = len(sizes)
     signs = np.unpackbits(np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(n, -1), axis=1).astype(np.float32) * 2 - 1
-    guess = signs @ signs.T / BITS
-    small = np.minimum(sizes[:, None], sizes[None, :])
-    ok = guess >= likeness - SLACK * 0.65 / np.sqrt(np.minimum(BITS, small))
-    ok &= small >= likeness * np.maximum(sizes[:, None], sizes[None, :])
+    guess = signs @ signs.T
+    guess /= BITS
+    sizes = sizes.astype(np.float32)
+    # of a pair the smaller set decides how far its sketch may be off
+    ok = guess >= np.minimum(likeness - SLACK * 0.65 / np.sqrt(np.minimum(BITS, sizes)), 1)[:, None]
+    ok |= guess >= np.minimum(likeness - SLACK * 0.65 / np.sqrt(np.minimum(BITS, sizes)), 1)[None, :]
+    del guess
+    low = np.float32(likeness) * sizes * np.float32(1 - 1e-6)
+    ok &= sizes[:, None] >= low[None, :]
+    ok &= sizes[None, :] >= low[:, None]
     ok &= np.triu(np.ones((n, n), dtype=bool), 1)
     if sides is not None:
         ok &= sides[:, None] != sides[None, :]
@@ -194,6 +203,7 @@ def _candidates(tiles: DataFrame, likeness: float) -> DataFrame:
                 rows = t.select(["leaf", "a", "b", "cls", "size", "copies"]).take(pa.array(chosen)).combine_chunks()
                 bits = np.packbits(ok[np.ix_(chosen, chosen)], axis=1)
                 yield from rows.append_column("partners", pa.array([x.tobytes() for x in bits], pa.binary())).to_batches()
+        release()
 
     return _grouped(tiles.select("leaf", "a", "b", "cls", "size", "sketch", "copies", "side", "leaves")).mapInArrow(run, schema)
 
@@ -212,6 +222,7 @@ def _with_sets(members: DataFrame, classes: DataFrame, docs: DataFrame, width: i
                 if digest(s) == cls:  # another row may have the same id
                     rows.append((cls, groups.code(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*rows) if rows else ((), ()))], names=["cls", "shingles"])
+        release()
 
     sets = texts.mapInArrow(run, "cls binary, shingles binary").dropDuplicates(["cls"])
     return wanted.drop("rep").join(sets, "cls")
