@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.common import arrow_rows, slices
+from quern.llm.common import arrow_rows, release, slices
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies, with white space written out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -205,5 +205,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_column: str = "doc
                 columns += [pa.array([[int(i) for i in x.split(",")] if x else [] for x in joined], pa.list_(pa.int32())), pa.array(list(back), pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.reset()
+        release()
 
     return source.mapInArrow(run, schema)
