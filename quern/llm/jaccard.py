@@ -188,8 +188,8 @@ def _possible(sizes: np.ndarray, sketches: list[bytes], leaves: list, leaf: int,
 
 
 def _candidates(tiles: DataFrame, likeness: float) -> DataFrame:
-    """Members of tiles with a possible partner; ``partners`` has a bit for each such member by order of ``cls``."""
-    schema = "leaf long, a int, b int, cls binary, size long, copies long, partners binary"
+    """Members of tiles with a possible partner; ``partners`` has a bit for each of the tile's ``chosen`` such members, by order of ``cls``."""
+    schema = "leaf long, a int, b int, cls binary, size long, copies long, partners binary, chosen int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
@@ -202,16 +202,21 @@ def _candidates(tiles: DataFrame, likeness: float) -> DataFrame:
             if len(chosen):
                 rows = t.select(["leaf", "a", "b", "cls", "size", "copies"]).take(pa.array(chosen)).combine_chunks()
                 bits = np.packbits(ok[np.ix_(chosen, chosen)], axis=1)
-                yield from rows.append_column("partners", pa.array([x.tobytes() for x in bits], pa.binary())).to_batches()
+                rows = rows.append_column("partners", pa.array([x.tobytes() for x in bits], pa.binary()))
+                yield from rows.append_column("chosen", pa.array(np.full(len(chosen), len(chosen), dtype=np.int32))).to_batches()
         release()
 
     return _grouped(tiles.select("leaf", "a", "b", "cls", "size", "sketch", "copies", "side", "leaves")).mapInArrow(run, schema)
 
 
 def _with_sets(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The shingle sets of members, read from the texts of their classes' first documents."""
+    """The shingle sets of members, read from the texts of their classes' first documents.
+
+    Documents without an id cannot be found by it: all of them are read, and name their classes by their digests.
+    """
     wanted = members.join(classes.select("cls", "rep"), "cls")
-    texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text")).join(wanted.select("rep", "cls").distinct(), "rep")
+    source = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text"))
+    texts = source.join(wanted.select("rep", "cls").distinct(), "rep").unionByName(source.filter("rep IS NULL").withColumn("cls", F.lit(None).cast("binary")))
     arrow_rows(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +224,11 @@ def _with_sets(members: DataFrame, classes: DataFrame, docs: DataFrame, width: i
             rows = []
             for cls, found in zip(batch.column("cls").to_pylist(), shingle_sets(Words(*text_buffers(batch.column("text"))), width)):
                 s = np.unique(found)
-                if digest(s) == cls:  # another row may have the same id
-                    rows.append((cls, groups.code(s)))
+                if not len(s):
+                    continue
+                own = digest(s)
+                if cls is None or own == cls:  # another row may have the same id
+                    rows.append((own, groups.code(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*rows) if rows else ((), ()))], names=["cls", "shingles"])
         release()
 
@@ -258,6 +266,8 @@ def _verified(members: DataFrame, likeness: float, pairs: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
             n = t.num_rows
+            if t.column("chosen")[0].as_py() != n:
+                raise ValueError(f"{n} sets in a tile of {t.column('chosen')[0]}")
             names, copies = t.column("cls").to_pylist(), t.column("copies").to_numpy()
             sets = [groups.decode(x, k)[0] for x, k in zip(t.column("shingles").to_pylist(), t.column("size").to_pylist())]
             possible = np.unpackbits(np.frombuffer(b"".join(t.column("partners").to_pylist()), dtype=np.uint8).reshape(n, -1), axis=1)[:, :n].astype(bool)
@@ -281,7 +291,7 @@ def _verified(members: DataFrame, likeness: float, pairs: bool) -> DataFrame:
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], pa.binary()), pa.array([names[i] for i in root[at]], pa.binary()), pa.array(links[at].astype(np.int64)), pa.array(docs[at].astype(np.int64))], names=["cls", "root", "classes", "docs"])
 
-    return _grouped(members).select("leaf", "a", "b", "cls", "size", "copies", "partners", "shingles").mapInArrow(run, schema)
+    return _grouped(members).select("leaf", "a", "b", "cls", "size", "copies", "partners", "chosen", "shingles").mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -318,7 +328,6 @@ def _candidates_of(docs: DataFrame, text: str, width: int, likeness: float) -> t
     leaves = _buckets(classes)
     possible = keep(_candidates(_tiles(leaves, classes), likeness), "possible")
     drop(leaves)
-    # classes whose only documents have no id cannot be read again by it; they are linked to their copies alone
     return members, classes, _with_sets(possible, classes, docs, width)
 
 

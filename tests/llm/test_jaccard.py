@@ -85,3 +85,17 @@ def test_empty_and_alone(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert result(jaccard.join(docs)) == [(1, 1, 1, 0)]
     assert jaccard.join(docs.limit(0)).count() == 0
+
+
+def test_near_copies_without_id(spark):
+    rng = random.Random(10)
+    rows = corpus(rng, 60, 40)
+    near = lambda t: " ".join(["x", *t.split()[1:]])
+    long = [t for _, t in rows if t and len(t.split()) > 40]
+    alone = " ".join(f"w{k}" for k in range(90))
+    rows += [(None, near(t)) for t in long[:50]] + [(None, long[0]), (None, alone), (None, near(alone)), (None, near(alone)), (None, "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert result(jaccard.join(docs)) == want
+    assert result(jaccard.join(docs.withColumn("doc_id", jaccard.F.lit(None).cast("long")))) == sorted(((None, None, None, r[3]) for r in want), key=repr)
