@@ -3,7 +3,8 @@
 Vectors are packed into blocks and quantised to int8 with one scale each.  A grid of
 query and candidate groups of bounded size is joined: of each tile the int8 product
 gives every inner product up to a bound from the lengths of the quantisation errors.
-A pair whose upper bound does not reach the query's k-th best lower bound is out;
+A pair whose upper bound does not reach the query's k-th best lower bound, of different
+ids, is out;
 the rest is computed in double precision from the original components, in their
 order, and kept in a heap for each query.  The heaps' contents are merged at the end.
 Nothing is approximated away: a pair is dropped only where the bounds prove it.
@@ -103,7 +104,9 @@ def _search(k: int):
                 slack = (length[:, None] * c_error[None, :] + error[:, None] * c_back[None, :]) * (1 + 1e-9) + 1e-12 * length[:, None] * c_back[None, :]
                 own = ids[:, None] == c_ids[None, :]
                 low = np.where(own, -np.inf, about - slack)
-                bar = np.maximum(least, np.partition(low, -k, axis=1)[:, -k]) if low.shape[1] >= k else least
+                one = np.unique(c_ids, return_index=True)[1]  # rows of one id may be one neighbour, so the bar counts one of them
+                some = low if len(one) == low.shape[1] else low[:, one]
+                bar = np.maximum(least, np.partition(some, -k, axis=1)[:, -k]) if len(one) >= k else least
                 at, to = np.nonzero((about + slack >= bar[:, None]) & ~own)
                 for low_at in range(0, len(at), 1 << 16):
                     i, j = at[low_at : low_at + (1 << 16)], to[low_at : low_at + (1 << 16)]

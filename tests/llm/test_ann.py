@@ -27,3 +27,14 @@ def test_against_all_pairs(spark, monkeypatch):
         assert got == want
     assert ann.nearest(docs.limit(0), ann.F.lit(True)).count() == 0
     assert [tuple(r)[:3] for r in ann.nearest(docs.filter("vec_id IN (2025, 2026)"), ann.F.col("vec_id") == 2025).collect()] == [(2025, 1, 2026)]
+
+
+def test_rows_repeated_more_than_k_times(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(200)]
+    best = [3 * x for x in rows[0][1]]
+    rows += [(501, best)] * 25 + [(502, [2.9 * x for x in rows[0][1]])] * 30 + [(7, rows[7][1])] * 22
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    want = brute([(r.vec_id, r.embedding) for r in docs.collect()], 20)
+    got = sorted(tuple(r) for r in ann.nearest(docs, ann.F.col("vec_id") % 5 == 0).collect())
+    assert got == want and len(got) == 20 * 40
