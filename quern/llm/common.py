@@ -1,14 +1,17 @@
 """Shared pieces: Arrow text access, vectorised word hashing, scratch tables.
 
-Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``.  All hashing is
-done on UTF-8 bytes with numpy, so no Python object is made per word.
+Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``.  Hashing is done
+on UTF-8 bytes with numpy; a Python object is made for words of over eight bytes only.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,7 +31,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_SEGMENT = 1 << 20
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError):  # other C libraries have no such function
@@ -50,30 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class _Poly:
-    """Polynomial hash of byte ranges from prefix sums, modulo 2**64."""
-
-    def __init__(self, seed: int) -> None:
-        self.table = splitmix(256, seed)
-        self.base = int(splitmix(1, seed + 1)[0]) & ~7 | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.grow(1 << 10)
-
-    def grow(self, n: int) -> None:
-        steps = np.ones((2, n + 1), dtype=np.uint64)
-        steps[:, 1:] = np.array([[self.base], [self.inverse]], dtype=np.uint64)
-        self.power, self.back = np.cumprod(steps, axis=1)
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.power) < len(data) + 1:
-            self.grow(max(_SEGMENT, len(data)) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(self.table[data] * self.power[: len(data)], out=sums[1:])
-            return mix((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
-
-
-_POLYS: dict[int, _Poly] = {}
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 class Words:
@@ -84,6 +63,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.data, self.offsets = data, offsets
+        self._digests: np.ndarray | None = None
         n = len(data)
         word = ~_SPACE[data]
         edge = np.zeros(n + 1, dtype=bool)
@@ -100,19 +80,27 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of each word, made in segments of about a megabyte."""
-        poly = _POLYS.setdefault(seed, _Poly(seed))
-        out = np.empty(len(self), dtype=np.uint64)
-        i = 0
-        while i < len(self):
-            low = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, low + _SEGMENT, side="right")))
-            out[i:j] = poly(self.data[low : self.ends[j - 1]], self.starts[i:j] - low, self.ends[i:j] - low)
-            i = j
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; the two lanes (0 and 1) are independent.
+
+        Words of up to eight bytes are told apart for certain: their bytes and number go
+        through a bijection.  Longer ones have a half of a keyed 128-bit BLAKE2b digest.
+        """
+        size = self.ends - self.starts
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        at_each_byte = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        short = np.minimum(size, 8)
+        out = mix(mix((at_each_byte[self.starts] & _MASKS[short]) ^ _SIZE_KEYS[lane][short]) + _LANE_KEYS[lane])
+        if self._digests is None:
+            raw = self.data.tobytes()
+            self._long = np.flatnonzero(size > 8)
+            found = zip(self.starts[self._long].tolist(), self.ends[self._long].tolist())
+            made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16, key=_DIGEST_KEY).digest() for a, b in found])
+            self._digests = np.frombuffer(made, dtype="<u8").reshape(-1, 2)
+        out[self._long] = self._digests[:, lane]
         return out
 
-    def windows(self, hashes: np.ndarray, width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, width: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of ``width`` words of one text, by first word, and which words begin one."""
         n = len(hashes) - width + 1
         ok = np.zeros(len(hashes), dtype=bool)
@@ -120,35 +108,41 @@ class Words:
             return np.zeros(len(hashes), dtype=np.uint64), ok
         left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(hashes))
         ok[:] = left >= width
-        base = np.uint64(int(splitmix(1, seed)[0]) | 1)
+        factors = _factors(width, lane)
+        out = np.zeros(len(hashes), dtype=np.uint64)
+        total = out[:n]
         with np.errstate(over="ignore"):
-            total = np.zeros(n, dtype=np.uint64)
             for j in range(width):
-                total *= base
-                total += hashes[j : j + n]
-        out = np.zeros(len(hashes), dtype=np.uint64)
+                total += hashes[j : j + n] * factors[j]
         out[:n] = mix(total)
         return out, ok
 
 
-def shingle_sets(words: Words, width: int = 5, seed: int = 1) -> Iterator[np.ndarray]:
+_SIZE_KEYS = [splitmix(9, 5), splitmix(9, 6)]
+_LANE_KEYS = splitmix(2, 7)
+_DIGEST_KEY = splitmix(2, 8).tobytes()
+
+
+def _factors(width: int, lane: int) -> np.ndarray:
+    """An odd factor for each place of a window: no two places share one, so no pattern of words cancels out."""
+    return splitmix(width, 9 + lane) | np.uint64(1)
+
+
+def shingle_sets(words: Words, width: int = 5) -> Iterator[np.ndarray]:
     """For each text its shingle hashes by place, repeats included.
 
     A text of fewer words than ``width`` has all its words as its one shingle; a text
     without words has none.
     """
-    hashes = words.hashes(seed)
-    made, _ = words.windows(hashes, width, seed + 6)
-    base = np.uint64(int(splitmix(1, seed + 6)[0]) | 1)
+    hashes = words.hashes()
+    made, _ = words.windows(hashes, width)
     for low, high in zip(words.first[:-1], words.first[1:]):
         if high - low >= width:
             yield made[low : high - width + 1]
         elif high > low:
             with np.errstate(over="ignore"):
-                total = np.zeros(1, dtype=np.uint64)
-                for h in hashes[low:high]:
-                    total = total * base + h
-            yield mix(total + np.uint64(high - low))
+                total = (hashes[low:high] * _factors(width, 0)[: high - low]).sum(dtype=np.uint64) + splitmix(width, 11)[high - low]
+            yield mix(np.array([total], dtype=np.uint64))
         else:
             yield made[:0]
 
@@ -189,32 +183,61 @@ def release() -> None:
         _TRIM(0)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, for tables that hold long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch, for tables that hold long texts.
+ARROW_ROWS = 1000
 
 
-_OWN: dict[str, str] = {}
+def arrow_rows(spark: SparkSession) -> None:
+    """Bound the rows of Arrow batches by one figure for all operators, so that none changes another's memory.
+
+    Batches are sized when a frame runs, not when it is made, so the bound stays; a smaller one of the session is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+@contextlib.contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with other settings, and afterwards as it was."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Shuffle files of a job that writes a table go when it has ended; a lost executor's are made again while it runs.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="quern-")
-    return _OWN[app]
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back, which cuts its lineage."""
+    """The folder that the cluster shares, named by the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one machine gets a folder of its own, as in tests;
+    on a cluster that is an error, as executors cannot see each other's folders.
+    """
+    name = "spark.checkpoint.dir"
+    where = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{name} is not set; a cluster needs a folder that all its machines share")
+        where = tempfile.mkdtemp(prefix="quern-")
+        spark.conf.set(name, where)
+    return where.rstrip("/")
+
+
+def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` in the shared folder, in folders ``by`` columns, and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _MADE.append((spark, path))
+    with configured(spark, CLEAN):
+        df.write.parquet(path, partitionBy=list(by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
@@ -223,11 +246,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def drop(*kept: DataFrame) -> None:
     """Delete tables of ``keep`` that nothing needs any more."""
     for df in kept:
-        _delete(df.sparkSession, df._quern_path)
+        delete(df.sparkSession, df._quern_path)
         _MADE[:] = [x for x in _MADE if x[1] != df._quern_path]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -238,7 +261,7 @@ def _at_end() -> None:
     for spark, path in _MADE:
         if spark.sparkContext._jsc is not None:
             try:
-                _delete(spark, path)
+                delete(spark, path)
             except Exception:  # the session may be gone already
                 return
 

@@ -187,7 +187,7 @@ def build(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...]
     A null text counts as empty: no tokens.  Repeated rows are counted each; other
     columns are not read.
     """
-    arrow_rows(docs.sparkSession, 1000)
+    arrow_rows(docs.sparkSession)
     source = docs.select(docs["doc_id"].cast("long"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), *carry)
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
 
@@ -208,7 +208,7 @@ def edit(built: DataFrame, path: str, edits: str = "edits") -> DataFrame:
     ``tokens_before``, ``pretokens`` and ``reencoded`` (pre-tokens encoded again).
     Null edits and null fields of an edit change nothing.
     """
-    arrow_rows(built.sparkSession, 1000)
+    arrow_rows(built.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)

@@ -19,6 +19,8 @@ from quern.llm.common import arrow_rows, mix, release, slices
 
 GROUP_BYTES = 4 << 20
 RANGE_KEYS = 1 << 19
+#: At most so many binary digits of ranges, as each group sends a row to each range.
+RANGE_BITS = 13
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -34,37 +36,76 @@ def group_count(size: int) -> int:
 
 def range_bits(keys: int) -> int:
     """Binary digits of the number of hash ranges for so many keys."""
-    return max(0, (max(1, keys // RANGE_KEYS) - 1).bit_length())
+    return min(RANGE_BITS, (max(1, keys // RANGE_KEYS) - 1).bit_length())
 
 
-def pack(docs: DataFrame, groups: int, text: str = "text") -> DataFrame:
-    """Rows (``grp``, ``blob``): documents dealt by id and length, in compressed Arrow streams."""
-    arrow_rows(docs.sparkSession, 2000)
+#: Bytes of text that a task deals at once, so that a blob holds several documents.
+DEALT_BYTES = 24 << 20
+
+
+def dealt(ids: np.ndarray, size: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document, by its id and length alone."""
+    with np.errstate(over="ignore"):
+        return (mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def pack(docs: DataFrame, groups: int, text: str = "text", bounds: list[int] = [], only: int | None = None) -> DataFrame:
+    """Rows (``grp``, ``blob``): documents dealt by id and length, in compressed Arrow streams.
+
+    With ``bounds``, ids from one bound to the next are a batch, which has groups of its own
+    (batch times ``groups`` and on); ``only`` gives one batch.
+    """
+    arrow_rows(docs.sparkSession)
     schema = docs.schema
     at = schema.fieldNames().index("doc_id")
+    if only is not None and bounds:
+        low, high = [None, *bounds][only], [*bounds, None][only]
+        here = F.lit(True) if low is None else F.col("doc_id") >= low
+        here = here & (F.lit(True) if high is None else F.col("doc_id") < high)
+        docs = docs.filter(here | F.col("doc_id").isNull() if high is None else here)
+    edges = np.array(bounds, dtype=np.int64)
+
+    def blobs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        table = pa.Table.from_batches(batches)
+        size = pa.compute.fill_null(pa.compute.binary_length(table.column(text)), 0).cast(pa.int64()).to_numpy()
+        ids = ids_of(table)
+        to = dealt(ids, size, groups) + np.searchsorted(edges, ids, side="right") * groups
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+        names, made = [], []
+        for low, high in zip(cuts, [*cuts[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table.take(pa.array(order[low:high])).combine_chunks())
+            names.append(int(to[order[low]]))
+            made.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(made, pa.binary())], names=["grp", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in slices(batches, text, 8 << 20):
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            ids = pa.compute.fill_null(batch.column(at).cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
-            with np.errstate(over="ignore"):
-                dealt = mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)) % np.uint64(groups)
-            order = np.argsort(dealt, kind="stable")
-            cuts = np.flatnonzero(np.diff(dealt[order], prepend=dealt[order[0]] + np.uint64(1)))
-            names, blobs = [], []
-            for low, high in zip(cuts, [*cuts[1:], len(order)]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-                    out.write_batch(batch.take(pa.array(order[low:high])))
-                names.append(int(dealt[order[low]]))
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "blob"])
+            held.append(batch)
+            n += batch.nbytes
+            if n >= DEALT_BYTES:
+                yield blobs(held)
+                held, n = [], 0
+        if held:
+            yield blobs(held)
+        del held
         release()
 
     return docs.mapInArrow(run, "grp long, blob binary")
 
 
+def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
+    """Bounds of ``doc_id`` that cut the rows into about equal batches; fewer where ids repeat."""
+    at = [i / batches for i in range(1, batches)]
+    found = docs.agg(F.percentile_approx(docs["doc_id"].cast("long"), F.array(*map(F.lit, at)), F.lit(10000))).first()[0] if at else None
+    return sorted(set(found or []))
+
+
 def released(make):
     """A function of a group that gives its memory back before the next group comes."""
 
@@ -102,7 +143,7 @@ def code(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers, byte by byte position, compressed; the first must be sorted and is delta-coded."""
     first = arrays[0].astype(np.uint64)
     deltas = np.diff(first, prepend=np.uint64(0))
-    parts = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in (deltas, *arrays[1:])]
+    parts = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in (deltas, *arrays[1:])]
     raw = b"".join(parts)
     return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 

@@ -1,16 +1,22 @@
 """Removal of passages that an earlier document has, by an index of window hashes.
 
-The index is log-structured: immutable runs of (hash, smallest doc_id, check bits),
-sorted by hash and cut into hash ranges.  A new batch of documents makes its own
-sorted runs; in each range the runs of history and of the batch are merged into one
-(the compacted run, smallest doc_id for each hash), the batch's runs are merge-joined
-with it, matches are verified by check bits of an independent hash, and each group
-of documents learns which of its windows begin in an earlier document.  With a path,
-the batch's runs are kept there, and runs beyond ``RUNS`` are compacted into one.
+The index is log-structured: immutable runs of (hash, check bits, smallest doc_id),
+sorted by hash, cut into hash ranges and stored in a table that is bucketed by range, so
+that a run is never shuffled again.  Documents come in batches by ascending ``doc_id``.
+Groups of a batch send the sorted hashes of their windows to the ranges; each range
+merge-joins them with its runs, tells each group which of its windows begin in a smaller
+document and in which one, and adds what is new as one more run.  Runs beyond ``RUNS``
+are compacted into one.
+
+A match is then verified by its words: consecutive matches in one document form a
+passage, which is looked for, word by word, in the document that is said to have it.  If
+any is not there, two hashes have clashed, and all is done anew with 128 bits of hash.
+Equal words have equal hashes, so nothing is missed either way.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -19,93 +25,210 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import groups
-from quern.llm.common import Words, text_buffers
+from quern.llm.common import CLEAN, Words, configured, delete, drop, keep, shared_dir, text_buffers
 
 WINDOW = 13
-#: Runs that an index on disk may have before they are compacted.
-RUNS = 4
+#: Batches that documents are cut into, and runs that the index may have before they are compacted.
+BATCHES, RUNS = 4, 2
 
-_ENTRIES = "bucket long, grp long, n long, run binary"
+_ENTRIES = "bucket long, grp long, n long, data binary"
+_STORED = "bucket long, grp long, n long, hits long, data binary, more binary, kind int"
+#: Kinds of stored rows: the answers to groups of the latest batch, and runs.
+_ANSWER, _RUN = 0, 1
+#: Kinds of what a group finds: where repeats begin, passages to verify, and its documents.
+_BEGINS, _PASSAGE, _MEMBERS = 0, 1, 2
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def check_bytes(windows: int) -> int:
+    """Bytes of a second hash beside the 64 bits of the first, so that a clash among so many windows has odds of about 1 to 65,536."""
+    return min(8, max(1, -(-(2 * max(1, windows).bit_length() + 16 - 64) // 8)))
+
+
+def _order(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by key and check, and which rows in it begin a new pair."""
+    order = np.argsort(key, kind="stable")
+    k, c = key[order], check[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    if (c[1:] != c[:-1])[~new[1:]].any():  # hashes that clash stand side by side
+        order = np.lexsort((check, key))
+        k, c = key[order], check[order]
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order, new
 
 
 class _Windows:
     """Windows of a group's documents and the first of each distinct one, by hash."""
 
-    def __init__(self, table: pa.Table, width: int) -> None:
+    def __init__(self, table: pa.Table, width: int, check: int) -> None:
         self.ids = groups.ids_of(table)
         self.words = Words(*text_buffers(table.column("text")))
-        one, ok = self.words.windows(self.words.hashes(1), width, 7)
-        two, _ = self.words.windows(self.words.hashes(21), width, 27)
+        key, ok = self.words.windows(self.words.hashes(0), width, 0)
+        second, _ = self.words.windows(self.words.hashes(1), width, 1)
         self.at = np.flatnonzero(ok)
-        key, check = one[self.at], (two[self.at] >> np.uint64(40)).astype(np.uint32)
-        order = np.argsort(key, kind="stable")  # of equal ones, the smallest doc_id comes first
-        self.at, key, check = self.at[order], key[order], check[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
+        key, second = key[self.at], second[self.at] >> np.uint64(64 - 8 * check)
+        order, new = _order(key, second)  # of equal windows, that of the smallest doc_id comes first
+        self.at, key, second = self.at[order], key[order], second[order]
         self.entry = np.cumsum(new) - 1  # of each window, its place among the distinct ones
-        self.key, self.check = key[new], check[new]
-        doc = np.searchsorted(self.words.first, self.at, side="right") - 1
-        self.doc_id = self.ids[doc]
+        self.key, self.check = key[new], second[new]
+        self.doc = np.searchsorted(self.words.first, self.at, side="right") - 1
+        self.doc_id = self.ids[self.doc]
         self.least = self.doc_id[new]
-        #: windows that a smaller document of this very group has
-        self.known = (self.doc_id > self.least[self.entry]) & (check == self.check[self.entry]) if len(key) else np.zeros(0, dtype=bool)
 
 
-def _bytes3(x: np.ndarray) -> list[np.ndarray]:
-    return [x.astype(np.uint16), (x >> np.uint32(16)).astype(np.uint8)]
+def _coded(run: Run, check: int) -> bytes:
+    return groups.code(run[0], run[1], *(((run[2] >> np.uint64(8 * i)) & np.uint64(255)).astype(np.uint8) for i in range(check)))
 
 
-def _run(key: np.ndarray, least: np.ndarray, check: np.ndarray) -> bytes:
-    return groups.code(key, least, *_bytes3(check))
+def _decoded(data: bytes, n: int, check: int) -> Run:
+    key, least, *planes = groups.decode(data, n, np.int64, *[np.uint8] * check)
+    second = np.zeros(n, dtype=np.uint64)
+    for i, plane in enumerate(planes):
+        second |= plane.astype(np.uint64) << np.uint64(8 * i)
+    return key, least, second
 
 
-def _read(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, least, low, high = groups.decode(data, n, np.int64, np.uint16, np.uint8)
-    return key, least, low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)
+_NONE: Run = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
 
 
-def _compacted(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compacted(runs: list[Run]) -> Run:
     """One sorted run with the smallest doc_id of each (hash, check)."""
-    key, least, check = (np.concatenate(x) for x in zip(*runs))
-    order = np.argsort(key, kind="stable")
-    key, least, check = key[order], least[order], check[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    key, least, check = (np.concatenate(x) for x in zip(_NONE, *runs))
+    order, new = _order(key, check)
     first = np.flatnonzero(new)
-    return key[first], np.minimum.reduceat(least, first) if len(first) else least, check[first]
-
-
-def _entries(packed: DataFrame, bits: int, width: int) -> DataFrame:
+    return key[order][first], np.minimum.reduceat(least[order], first) if len(first) else least, check[order][first]
+
+
+def _looked_up(run: Run, asked: Run) -> np.ndarray:
+    """The smallest doc_id that a run has for each entry asked, itself sorted; the largest number where it has none."""
+    key, least, check = run
+    none = np.iinfo(np.int64).max
+    if not len(key):
+        return np.full(len(asked[0]), none)
+    at = np.minimum(np.searchsorted(key, asked[0]), len(key) - 1)
+    same = (key[at] == asked[0]) & (check[at] == asked[2])
+    out = np.where(same, least[at], none)
+    for i in np.flatnonzero((key[at] == asked[0]) & ~same):
+        j = at[i]
+        while j < len(key) and key[j] == asked[0][i]:
+            if check[j] == asked[2][i]:
+                out[i] = least[j]
+            j += 1
+    return out
+
+
+def _entries(packed: DataFrame, bits: int, width: int, check: int) -> DataFrame:
     def make(rows: pa.Table) -> pa.Table:
-        grp, w = rows.column("grp")[0].as_py(), _Windows(groups.unpack(rows), width)
+        grp, w = rows.column("grp")[0].as_py(), _Windows(groups.unpack(rows), width, check)
         part, cuts = groups.range_cuts(w.key, bits)
-        made = [_run(w.key[a:b], w.least[a:b], w.check[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return pa.table([pa.array(part, pa.int64()), pa.array([grp] * len(part), pa.int64()), pa.array(np.diff(cuts)[: len(part)], pa.int64()), pa.array(made, pa.binary())], names=["bucket", "grp", "n", "run"])
+        made = [_coded((w.key[a:b], w.least[a:b], w.check[a:b]), check) for a, b in zip(cuts, cuts[1:])]
+        return pa.table([pa.array(part, pa.int64()), pa.array([grp] * len(part), pa.int64()), pa.array(np.diff(cuts)[: len(part)], pa.int64()), pa.array(made, pa.binary())], names=["bucket", "grp", "n", "data"])
 
     return packed.groupBy("grp").applyInArrow(groups.released(make), _ENTRIES)
 
 
-def _answers(entries: DataFrame) -> DataFrame:
-    """For each group and range, a bit for each entry: whether a smaller document has it."""
+def _joined(history: DataFrame, entries: DataFrame, check: int) -> DataFrame:
+    """Of each range the answers to its groups and the run of what the batch adds to history."""
+
+    def make(old: pa.Table, rows: pa.Table) -> pa.Table:
+        made: list[tuple] = []
+        if rows.num_rows:
+            bucket = rows.column("bucket")[0].as_py()
+            before = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(old.column("data"), old.column("n").to_pylist())])
+            asked = [_decoded(d.as_py(), n, check) for d, n in zip(rows.column("data"), rows.column("n").to_pylist())]
+            batch = _compacted(asked)
+            all_of_it = _compacted([before, batch])
+            for one, grp in zip(asked, rows.column("grp").to_pylist()):
+                source = _looked_up(all_of_it, one)
+                hit = source < one[1]
+                said = source[hit]
+                made.append((bucket, grp, len(hit), len(said), np.packbits(hit).tobytes(), groups.code(np.zeros(len(said), dtype=np.uint64), said), _ANSWER))
+            more = batch[1] < _looked_up(before, batch)
+            made.append((bucket, -1, int(more.sum()), 0, _coded(tuple(x[more] for x in batch), check), b"", _RUN))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 7, kinds)], names=["bucket", "grp", "n", "hits", "data", "more", "kind"])
+
+    return history.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(groups.released(make), _STORED)
+
+
+def _joined_words(words: Words, low: int, high: int) -> bytes:
+    return b" ".join(words.data[words.starts[low] : words.ends[high - 1]].tobytes().split())
+
+
+def _passages(w: _Windows, begins: np.ndarray, doc: np.ndarray, source: np.ndarray, width: int) -> dict[tuple[int, bytes], bytes]:
+    """Runs of windows of one document that one source has, as text, by source and digest."""
+    order = np.argsort(begins, kind="stable")
+    begins, doc, source = begins[order], doc[order], source[order]
+    new = np.ones(len(begins), dtype=bool)
+    new[1:] = (begins[1:] != begins[:-1] + 1) | (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(begins)) - 1
+    made = {}
+    for a, b in zip(first.tolist(), last.tolist()):
+        said = _joined_words(w.words, int(begins[a]), int(begins[b]) + width)
+        made[int(source[a]), hashlib.blake2b(said, digest_size=16).digest()] = said
+    return made
 
-    def make(rows: pa.Table) -> pa.Table:
-        runs = [_read(r.as_py(), n.as_py()) for r, n in zip(rows.column("run"), rows.column("n"))]
-        key, least, check = _compacted(runs)
-        said = []
-        for (k, d, c), grp in zip(runs, rows.column("grp").to_pylist()):
-            if grp >= 0:
-                at = np.searchsorted(key, k)
-                hit = (least[at] < d) & (check[at] == c)
-                if len(k) and (check[at] != c).any():  # hashes that clash stand side by side
-                    for i in np.flatnonzero(check[at] != c):
-                        j = at[i]
-                        while j < len(key) and key[j] == k[i]:
-                            hit[i] |= check[j] == c[i] and least[j] < d[i]
-                            j += 1
-                said.append((grp, rows.column("bucket")[0].as_py(), len(k), np.packbits(hit).tobytes()))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*said), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if said else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=["grp", "bucket", "n", "bits"])
-
-    return entries.groupBy("bucket").applyInArrow(groups.released(make), "grp long, bucket long, n long, bits binary")
+
+def _found(packed: DataFrame, answers: DataFrame, width: int, check: int) -> DataFrame:
+    """For each group the words at which a repeat begins, the passages to verify, and its documents' ids."""
+    schema = "kind int, grp long, n long, source long, digest binary, data binary"
+
+    def make(rows: pa.Table, said: pa.Table) -> pa.Table:
+        grp = rows.column("grp")[0].as_py()
+        w = _Windows(groups.unpack(rows), width, check)
+        source = [np.zeros(0, dtype=np.int64)]
+        for _, bits, n, hits, more in sorted(zip(*(said.column(c).to_pylist() for c in ("bucket", "data", "n", "hits", "more")))):
+            hit = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n).astype(bool)
+            part = np.full(n, np.iinfo(np.int64).max)
+            part[hit] = groups.decode(more, hits, np.int64)[1]
+            source.append(part)
+        least = np.concatenate(source)
+        if len(least) != len(w.key):
+            raise ValueError(f"{len(least)} answers for {len(w.key)} windows")
+        # what no other group has in a smaller document, this one may have
+        least = np.minimum(least, w.least)[w.entry] if len(w.at) else w.least
+        hit = least < w.doc_id
+        begins = np.sort(w.at[hit])
+        made = [(_BEGINS, grp, len(begins), 0, b"", groups.code(begins.astype(np.uint64)))]
+        ids = np.unique(w.ids)
+        made.append((_MEMBERS, grp, len(ids), 0, b"", groups.code(ids.astype(np.uint64))))
+        made += [(_PASSAGE, grp, 0, of, digest, text) for (of, digest), text in _passages(w, w.at[hit], w.doc[hit], least[hit], width).items()]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["kind", "grp", "n", "source", "digest", "data"])
+
+    return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(groups.released(make), schema)
+
+
+def _unverified(packed: DataFrame, found: DataFrame) -> DataFrame:
+    """Passages (``source``, ``digest``) that no row of the document said to have them holds word by word."""
+
+    def listed(batches):
+        for batch in batches:
+            for grp, n, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "n", "data"))):
+                ids = groups.decode(data, n)[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), grp))], names=["source", "grp"])
+
+    passages = found.filter(f"kind = {_PASSAGE}").select("source", "digest", "data").dropDuplicates(["source", "digest"])
+    members = found.filter(f"kind = {_MEMBERS}").select("grp", "n", "data").mapInArrow(listed, "source long, grp long")
+    asked = passages.join(members, "source")
+
+    def make(rows: pa.Table, said: pa.Table) -> pa.Table:
+        kinds = (pa.int64(), pa.binary(), pa.bool_())
+        made: list[tuple] = []
+        if said.num_rows:
+            table = groups.unpack(rows)
+            ids, texts = groups.ids_of(table), table.column("text")
+            wanted: dict[int, list[bytes]] = {}
+            for i in np.flatnonzero(np.isin(ids, said.column("source").to_numpy())).tolist():
+                wanted.setdefault(int(ids[i]), []).append(b" " + b" ".join((texts[i].as_py() or "").encode().split()) + b" ")
+            for source, digest, text in zip(*(said.column(c).to_pylist() for c in ("source", "digest", "data"))):
+                made.append((source, digest, any(b" " + text + b" " in whole for whole in wanted.get(source, ()))))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 3, kinds)], names=["source", "digest", "there"])
+
+    looked = packed.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(groups.released(make), "source long, digest binary, there boolean")
+    return looked.groupBy("source", "digest").agg(F.max("there").alias("there")).filter("NOT there")
 
 
 def _kept(words: Words, gone: np.ndarray) -> pa.Array:
@@ -122,98 +245,135 @@ def _kept(words: Words, gone: np.ndarray) -> pa.Array:
     return pa.array([raw[a : b - 1] if b > a else b"" for a, b in zip(places, places[1:])], pa.binary()).cast(pa.string())
 
 
-def _applied(packed: DataFrame, answers: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _applied(packed: DataFrame, found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     schema = docs.schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
 
     def make(rows: pa.Table, said: pa.Table) -> pa.Table:
         table = groups.unpack(rows)
-        w = _Windows(table, width)
-        bits = [np.unpackbits(np.frombuffer(b.as_py(), dtype=np.uint8), count=n.as_py()) for _, b, n in sorted(zip(said.column("bucket").to_pylist(), said.column("bits"), said.column("n")), key=lambda x: x[0])]
-        earlier = np.concatenate([np.zeros(0, dtype=bool), *bits]).astype(bool)
-        if len(earlier) != len(w.key):
-            raise ValueError(f"{len(earlier)} answers for {len(w.key)} windows")
-        # the answer is about the group's smallest document, and holds for its later ones too
-        begins = w.at[w.known | earlier[w.entry]] if len(w.at) else w.at
-        cover = np.zeros(len(w.words) + width, dtype=np.int64)
+        words = Words(*text_buffers(table.column("text")))
+        begins = groups.decode(said.column("data")[0].as_py(), said.column("n")[0].as_py())[0].astype(np.int64)
+        cover = np.zeros(len(words) + width, dtype=np.int64)
         np.add.at(cover, begins, 1)
         np.add.at(cover, begins + width, -1)
-        gone = np.cumsum(cover)[: len(w.words)] > 0
-        removed = np.concatenate([[0], np.cumsum(gone)])[w.words.first]
-        return table.append_column("kept", _kept(w.words, gone)).append_column("n_words", pa.array(np.diff(w.words.first), pa.int64())).append_column("n_removed", pa.array(np.diff(removed), pa.int64()))
+        gone = np.cumsum(cover)[: len(words)] > 0
+        removed = np.concatenate([[0], np.cumsum(gone)])[words.first]
+        return table.append_column("kept", _kept(words, gone)).append_column("n_words", pa.array(np.diff(words.first), pa.int64())).append_column("n_removed", pa.array(np.diff(removed), pa.int64()))
 
-    return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(groups.released(make), schema)
+    begins = found.filter(f"kind = {_BEGINS}").select("grp", "n", "data")
+    return packed.groupBy("grp").cogroup(begins.groupBy("grp")).applyInArrow(groups.released(make), schema)
 
 
-def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """Remove each word covered by a window that also begins in a document with a smaller ``doc_id``.
 
     Windows are ``width`` words in a row of one document, judged on the input.  Returns
     all columns of ``docs`` (``doc_id`` and ``text`` among them) and ``kept`` (the
-    words that stay, joined by one space), ``n_words`` and ``n_removed``.  Null and
-    empty texts have no words and an empty ``kept``.  A null id is smaller than none;
-    rows with equal ids never remove each other's words.  With an ``index``, documents
-    of earlier batches count too, and this batch is added to it.
+    words that stay, joined by one space), ``n_words`` and ``n_removed``; columns that
+    have these names already come back as ``kept_in`` and so on.  Null and empty texts
+    have no words and an empty ``kept``.  A null id is larger than any; rows with equal
+    ids never remove each other's words.  An empty table gives an empty one.  With an
+    ``index``, documents of earlier calls count too, and these are added to it; what
+    earlier calls had is compared by the index's hashes, as their texts are not here.
     """
     clash = {"kept", "n_words", "n_removed"} & set(docs.columns)
     if clash:
         docs = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
+    spark = docs.sparkSession
     size = groups.text_bytes(docs)
-    packed = groups.pack(docs, groups.group_count(size))
-    bits = index.bits if index is not None else groups.range_bits(size // 6)
-    entries = _entries(packed, bits, width)
-    if index is not None:
-        entries = index.joined(entries)
-    return _applied(packed, _answers(entries), docs, width)
+    bounds = groups.batch_bounds(docs, batches)
+    per_batch = groups.group_count(-(-size // (len(bounds) + 1)))
+    packed = lambda only=None: groups.pack(docs, per_batch, bounds=bounds, only=only)
+    for check in (index.check,) if index is not None else (check_bytes(size // 6), 8):
+        own = index or SubstringIndex(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}", groups.range_bits(size // 6), check)
+        known = own.runs() > 0
+        parts = []
+        for k in range(len(bounds) + 1):
+            answers = own.add(_entries(packed(k), own.bits, width, check))
+            parts.append(keep(_found(packed(k), answers, width, check), "found", "kind"))
+            own.compact()
+        if index is None:
+            own.remove()
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        if known or not _unverified(packed(), found).limit(1).count():
+            return _applied(packed(), found, docs, width)
+        drop(*parts)
+    raise RuntimeError("documents have passages of different words with equal hashes of 128 bits")
 
 
 class SubstringIndex:
     """Runs of window hashes under a folder; batches are added by ``remove_repeats``.
 
-    ``bits`` fixes the number of hash ranges when the index is made; use the same
-    ever after.
+    ``bits`` fixes the number of hash ranges and ``check`` the bytes of the second hash when
+    the index is made; use the same ever after.  Each generation is a bucketed table in
+    a folder of its own, and compaction writes the next one, so a job that fails leaves the
+    generation before as it was.
     """
 
-    def __init__(self, spark: SparkSession, path: str, bits: int = 6) -> None:
-        self.spark, self.path, self.bits = spark, path, bits
+    def __init__(self, spark: SparkSession, path: str, bits: int = 6, check: int = 4) -> None:
+        self.spark, self.path, self.bits, self.check = spark, path.rstrip("/"), bits, check
+        self.buckets = max(1, (1 << bits) // 8)
+        self.generation = max((int(p.rsplit("-", 1)[1]) for p in self._folders()), default=0)
+        self._open()
 
-    def _fs(self):
+    def _folders(self) -> list[str]:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        # a generation that was not written to its end has no mark of success
+        return [s.getPath().toString() for s in fs.listStatus(where) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(where) else []
 
-    def runs(self) -> list[str]:
-        fs, where = self._fs()
-        if not fs.exists(where):
-            return []
-        jvm = self.spark.sparkContext._jvm
-        found = [s.getPath() for s in fs.listStatus(where)]
-        # a run that was not written to its end has no mark of success
-        return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.path}/run-{len(self.runs()):06d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(path)
-        return path
-
-    def joined(self, entries: DataFrame) -> DataFrame:
-        """Keep a batch's runs, and give them together with those of history (whose ``grp`` is -1)."""
-        before = self.runs()
-        new = self.spark.read.schema(_ENTRIES).parquet(self._write(entries))
-        if not before:
-            return new
-        return new.unionByName(self.spark.read.schema(_ENTRIES).parquet(*before).withColumn("grp", F.lit(-1).cast("long")))
+    def _name(self, generation: int) -> str:
+        return f"quern_index_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{generation}"
+
+    def _open(self) -> None:
+        columns = "bucket BIGINT, grp BIGINT, n BIGINT, hits BIGINT, data BINARY, more BINARY, run INT, kind INT"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(self.generation)} ({columns}) USING parquet PARTITIONED BY (run, kind) CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/gen-{self.generation}'")
+
+    def _write(self, rows: DataFrame, run: int, generation: int) -> None:
+        ready = rows.withColumn("run", F.lit(run)).select("bucket", "grp", "n", "hits", "data", "more", "run", "kind")
+        with configured(self.spark, CLEAN):
+            ready.write.format("parquet").partitionBy("run", "kind").bucketBy(self.buckets, "bucket").mode("append").option("path", f"{self.path}/gen-{generation}").saveAsTable(self._name(generation))
+
+    def _table(self) -> DataFrame:
+        return self.spark.table(self._name(self.generation))
+
+    def _latest(self) -> int:
+        return self._table().agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0]
+
+    def runs(self) -> int:
+        """How many runs there are."""
+        return self._table().filter(f"kind = {_RUN}").select("run").distinct().count()
+
+    def add(self, entries: DataFrame) -> DataFrame:
+        """Merge a batch's entries with all runs, keep what is new as one more, and give the answers to its groups."""
+        run = self._latest() + 1
+        self._write(_joined(self._table().filter(f"kind = {_RUN}"), entries, self.check), run, self.generation)
+        return self._table().filter(f"run = {run} AND kind = {_ANSWER}").drop("run", "kind")
 
     def compact(self, most: int = RUNS) -> None:
-        """Merge all runs into one if there are more than ``most``.  Call it when no result is still to be read."""
-        old = self.runs()
-        if len(old) <= most:
+        """Merge all runs into one if there are more than ``most``.  Answers that are still to be read go, too."""
+        if self.runs() <= most:
             return
+        check = self.check
 
         def merged(rows: pa.Table) -> pa.Table:
-            key, least, check = _compacted([_read(r.as_py(), n.as_py()) for r, n in zip(rows.column("run"), rows.column("n"))])
-            return pa.table([rows.column("bucket").slice(0, 1).combine_chunks(), pa.array([-1], pa.int64()), pa.array([len(key)], pa.int64()), pa.array([_run(key, least, check)], pa.binary())], names=["bucket", "grp", "n", "run"])
-
-        self._write(self.spark.read.schema(_ENTRIES).parquet(*old).groupBy("bucket").applyInArrow(merged, _ENTRIES))
-        fs, _ = self._fs()
-        for path in old:
-            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+            run = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(rows.column("data"), rows.column("n").to_pylist())])
+            made = (rows.column("bucket")[0].as_py(), -1, len(run[0]), 0, _coded(run, check), b"", _RUN)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+            return pa.table([pa.array([c], k) for c, k in zip(made, kinds)], names=["bucket", "grp", "n", "hits", "data", "more", "kind"])
+
+        old, last = self.generation, self._latest()
+        self._write(self._table().filter(f"kind = {_RUN}").groupBy("bucket").applyInArrow(groups.released(merged), _STORED), last, old + 1)
+        self.generation = old + 1
+        self._forget(old)
+
+    def _forget(self, generation: int) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(generation)}")
+        delete(self.spark, f"{self.path}/gen-{generation}")
+
+    def remove(self) -> None:
+        """Delete the index."""
+        self._forget(self.generation)
+        delete(self.spark, self.path)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quern.llm import groups, substring
 
 
@@ -60,6 +62,37 @@ def test_batches_and_compaction(spark, tmp_path):
     for low, high in ((0, 60), (60, 150), (150, 1010), (1010, 5000)):
         batch = [r for r in rows if low <= r[0] < high]
         got += result(substring.remove_repeats(spark.createDataFrame(batch, "doc_id long, text string"), index))
-        index.compact(2)
     assert sorted(got, key=repr) == brute(rows)
-    assert len(index.runs()) <= 2
+    assert index.runs() <= 2 and index.generation > 0
+    reopened = substring.SubstringIndex(spark, str(tmp_path / "index"), bits=2)
+    assert reopened.generation == index.generation and reopened.runs() == index.runs()
+    index.remove()
+
+
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_polynomials_stay(spark):
+    one, other = thue_morse(2048)
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    # windows of two words in the same pattern
+    pattern, inverse = (" ".join({"a": "left", "b": "right"}[c] for c in w[:13]) for w in (one, other))
+    docs = spark.createDataFrame([(1, pattern), (2, inverse)], "doc_id long, text string")
+    assert {r.n_removed for r in substring.remove_repeats(docs).collect()} == {0}
+
+
+def test_passages_are_verified_by_words(spark):
+    docs = spark.createDataFrame([(1, "a b  c\nd"), (1, "x y z"), (2, "a b")], "doc_id long, text string")
+    packed = groups.pack(docs, 1)
+    member = (2, 0, 2, 0, b"", groups.code(np.array([1, 2], dtype=np.uint64)))
+    passages = [(1, b"there", b"b c d"), (1, b"other row", b"x y z"), (1, b"half a word", b"b c"), (2, b"not", b"b c"), (1, b"cut", b"y")]
+    found = spark.createDataFrame([member, *((1, 0, 0, *p) for p in passages)], "kind int, grp long, n long, source long, digest binary, data binary")
+    assert [bytes(r.digest) for r in substring._unverified(packed, found).collect()] == [b"not"]
+    assert substring.check_bytes(1 << 20) == 1 and substring.check_bytes(1 << 45) == 6
