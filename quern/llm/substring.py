@@ -201,7 +201,16 @@ def _found(packed: DataFrame, answers: DataFrame, width: int, check: int) -> Dat
     return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(groups.released(make), schema)
 
 
-def _unverified(packed: DataFrame, found: DataFrame) -> DataFrame:
+def _holds(texts: list[bytes], passage: bytes, width: int) -> bool:
+    """Whether texts hold a passage, or as its windows may stand at several places, each of its windows."""
+    if any(b" " + passage + b" " in whole for whole in texts):
+        return True
+    words = passage.split()
+    windows = (b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1)))
+    return all(any(w in whole for whole in texts) for w in windows)
+
+
+def _unverified(packed: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """Passages (``source``, ``digest``) that no row of the document said to have them holds word by word."""
 
     def listed(batches):
@@ -224,7 +233,7 @@ def _unverified(packed: DataFrame, found: DataFrame) -> DataFrame:
             for i in np.flatnonzero(np.isin(ids, said.column("source").to_numpy())).tolist():
                 wanted.setdefault(int(ids[i]), []).append(b" " + b" ".join((texts[i].as_py() or "").encode().split()) + b" ")
             for source, digest, text in zip(*(said.column(c).to_pylist() for c in ("source", "digest", "data"))):
-                made.append((source, digest, any(b" " + text + b" " in whole for whole in wanted.get(source, ()))))
+                made.append((source, digest, _holds(wanted.get(source, []), text, width)))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 3, kinds)], names=["source", "digest", "there"])
 
     looked = packed.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(groups.released(make), "source long, digest binary, there boolean")
@@ -296,7 +305,7 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
         found = parts[0]
         for part in parts[1:]:
             found = found.unionByName(part)
-        if known or not _unverified(packed(), found).limit(1).count():
+        if known or not _unverified(packed(), found, width).limit(1).count():
             return _applied(packed(), found, docs, width)
         drop(*parts)
     raise RuntimeError("documents have passages of different words with equal hashes of 128 bits")
