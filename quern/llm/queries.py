@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import crc_mod, keep, table
 
-#: The place of the tokenizers' vocabulary files; a parameter of the queries that need one.
-TOKENIZERS = "/opt/tokenizers"
-
-
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
     from quern.llm import chat
@@ -53,7 +50,7 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded with the 50k byte-level vocabulary."""
     from quern.llm import bpe
 
-    return bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +76,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import lm
 
     held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
-    out = lm.score(table(spark, sf_dir, "documents"), ~held, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    out = lm.score(table(spark, sf_dir, "documents"), ~held, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -87,7 +84,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all texts before and after three edits each, only edited regions encoded again."""
     from quern.llm import edit_counts
 
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     built = edit_counts.build(table(spark, sf_dir, "documents"), path)
     n = F.length("text").cast("long")
     made = [(F.floor(n / 4), 7, ""), (F.floor(n / 2), 0, " re-edited "), (F.floor(n * 3 / 4), 5, "X1 y")]

@@ -3,12 +3,13 @@
 import hashlib
 import random
 
+import public_tokenizers
 import pytest
 
 from quern.llm import bpe
 
 tokenizers = pytest.importorskip("tokenizers")
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_random_texts():

@@ -2,13 +2,14 @@
 
 import random
 
+import public_tokenizers
 import pytest
 
 from quern.llm import edit_counts
 from quern.llm.bpe import TrieBPE
 
 tokenizers = pytest.importorskip("tokenizers")
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_random_edits_match_full_encoding():
