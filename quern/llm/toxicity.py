@@ -2,11 +2,14 @@
 
 A *character model* (interpolated trigrams over lower-case Latin letters) is counted
 over all texts.  A token that holds leet characters, separators or letters repeated
-three times or more, and a run of single letters spaced apart, is a noisy reading of
-a word: its lattice has an arc for each reading of each character (itself, the
-letters it may stand for, nothing), with a channel cost.  Viterbi decoding under the
-character model finds the likeliest word.  Other tokens have one path only, which is
-the token itself, so no search is made for them.
+three times or more, and a run of short tokens with single letters among them, is a noisy
+reading of words: its lattice has an arc for each reading of each character, with a channel
+cost: itself, the letters it may stand for, nothing, and for spaces and separators the edge
+of a word.  Viterbi decoding under the character model finds the likeliest words, so where
+a word begins among spaced letters is decided by the model.  Other tokens have one path only,
+which is the token itself, so no search is made for them; nor is it for neighbouring tokens
+and for tokens with double letters, unless joined or shortened they are a word that the
+classifier knows.
 
 The *classifier* looks at restored words: the whole word, and its first 4, 5 and 6
 letters (the words of a language's slurs share stems).  From labelled rows it keeps
@@ -17,6 +20,7 @@ of its strongest words, mapped to a probability by logistic regression.
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,8 +34,8 @@ from quern.llm.common import arrow_rows, hashed_sample, release, slices
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 TRAINING_ROWS = 20_000
-#: At most so many words and stems are kept, the most significant ones.
-FEATURES = 20_000
+#: Words and stems are kept that make labels so many nats likelier than a share as in all rows.
+GAIN = 10.0
 #: A text's evidence is the sum of its so many strongest distinct words.
 STRONGEST = 3
 
@@ -41,14 +45,17 @@ CODE = {c: i + 2 for i, c in enumerate(LETTERS)}
 
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "#": "h"}
-SEPARATORS = "._-*~'/\\,:;`^\"" + "".join(LEET)
-#: Costs, in nats, of reading a character as a letter, of skipping it, and of shortening a run of one letter.
-LEET_COST, SKIP_COST, RUN_COST = 1.0, 2.0, 0.5
+SEPARATORS = "._-*~'/\\,:;`^\""
+#: Costs, in nats, of reading a character as a letter, of skipping it, of shortening a run of one letter,
+#: of dropping a space, and of reading a separator as the edge of a word.
+LEET_COST, SKIP_COST, RUN_COST, SPACE_COST, EDGE_COST = 1.0, 2.0, 0.5, 0.5, 1.0
 OTHER_COST = 4.0
 
 _PLAIN = re.compile(rf"[{LETTERS}]*\Z").match
 _THRICE = re.compile(r"([^\W\d_])\1\1").search
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+_TWICE = re.compile(r"([^\W\d_])\1")
+#: Tokens that may be pieces of a spaced word have so many characters at most, in runs of so many at least.
+PIECE, PIECES = 2, 3
 _ENDS = ".,;:?\"')]}"
 
 _TABLE = np.ones(0x250, dtype=np.int64)
@@ -94,18 +101,23 @@ class Channel:
                 j += 1
             if c in CODE:
                 n = j - i
-                out.append([(c * n, 0.0)] if n < 3 else [(c, RUN_COST), (c * 2, RUN_COST)])
+                out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, RUN_COST)] if n == 2 else [(c, RUN_COST), (c * 2, RUN_COST)])
                 i = j
                 continue
+            i += 1
+            if c == " ":
+                out.append([(" ", 0.0), ("", SPACE_COST)])
+                continue
             readings = [(x, LEET_COST) for x in LEET.get(c, "")]
-            if c in SEPARATORS:
+            if c in SEPARATORS or c in LEET:
                 readings.append(("", SKIP_COST))
+            if c in SEPARATORS:
+                readings.append((" ", EDGE_COST))
             out.append([*readings, (c, OTHER_COST)])
-            i += 1
         return out
 
     def restore(self, token: str) -> str:
-        """The likeliest word for a token, itself if nothing reads better."""
+        """The likeliest words for a token or a run of tokens, parted by spaces; itself if nothing reads better."""
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for readings in self.arcs(token):
             step: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -113,7 +125,7 @@ class Channel:
                 for read, more in readings:
                     total, x, y = cost + more, a, b
                     for c in read:
-                        z = CODE.get(c, 1)
+                        z = 0 if c == " " else CODE.get(c, 1)
                         total += self.costs[x, y, z]
                         x, y = y, z
                     old = step.get((x, y))
@@ -127,28 +139,47 @@ class Channel:
             out.append(read)
         return "".join(reversed(out))
 
+    def words(self, token: str) -> list[str]:
+        """The restored words of a lower-case token, or of a run of them."""
+        word = token.strip(_ENDS)
+        if " " not in word and _PLAIN(word) and not _THRICE(word):
+            return [word]
+        return self.restore(token if _THRICE(word) is None and len(word) < 2 else word).split()
+
     def features(self, token: str, remember: bool = True) -> tuple[str, ...]:
-        """What the classifier sees of a lower-case token."""
+        """What the classifier sees of a lower-case token, or of a run of them."""
         made = self.known.get(token)
         if made is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            word = token.strip(_ENDS)
-            if not _PLAIN(word) or _THRICE(word):
-                word = self.restore(token if _THRICE(word) is None and len(word) < 2 else word)
-            made = tuple(dict.fromkeys(word[:n] for n in (4, 5, 6)) | {"=" + word: None}) if len(word) >= 4 else ("=" + word,) if len(word) == 3 else ()
+            made = tuple(dict.fromkeys(f for w in self.words(token) for f in stems(w)))
             if remember:
                 self.known[token] = made
         return made
 
 
+def stems(word: str) -> tuple[str, ...]:
+    """The whole word, and if it has four letters or more, its first 4, 5 and 6."""
+    return (word[:4], word[:5], word[:6], "=" + word) if len(word) >= 4 else ("=" + word,) if len(word) == 3 else ()
+
+
+def runs(found: list[str]) -> list[str]:
+    """Runs of short tokens with two single characters among them, joined by spaces."""
+    out, low = [], 0
+    for high in [i for i, t in enumerate(found) if len(t) > PIECE] + [len(found)]:
+        if high - low >= PIECES and sum(len(t) == 1 for t in found[low:high]) >= 2:
+            out.append(" ".join(found[low:high]))
+        low = high + 1
+    return out
+
+
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens; single letters spaced apart are one token as well."""
-    low = text.lower()
-    found = set(low.split())
-    if any(len(t) == 1 for t in found):
-        found.update("".join(m.group().split()) for m in _SPACED.finditer(low))
-    return found
+    """Distinct lower-case tokens, and the runs of them that may be spaced words."""
+    found = text.lower().split()
+    out = set(found)
+    if sum(len(t) == 1 for t in out) and len(found) >= PIECES:
+        out.update(runs(found))
+    return out
 
 
 @dataclass
@@ -162,17 +193,29 @@ class Model:
 
     def scorer(self):
         channel, known, weights = Channel(self.costs), {}, self.weights
+        whole = {f[1:] for f in weights if f[0] == "="}
+
+        def weight(token: str) -> float:
+            found = channel.features(token, False)
+            if _TWICE.search(token) and (short := _TWICE.sub(r"\1", token.strip(_ENDS))) in whole and channel.restore(token.strip(_ENDS)) == short:
+                found = (*found, *stems(short))
+            return max((weights.get(f, 0.0) for f in found), default=0.0)
 
         def evidence(text: str) -> float:
             if len(known) > 200_000:
                 known.clear()
+            low = text.lower().split()
             found = []
             for t in tokens(text):
                 w = known.get(t)
                 if w is None:
-                    w = known[t] = max((weights.get(f, 0.0) for f in channel.features(t, False)), default=0.0)
+                    w = known[t] = weight(t)
                 if w:
                     found.append(w)
+            if not whole.isdisjoint(map(operator.add, low, low[1:])):
+                for a, b in set(zip(low, low[1:])):
+                    if a + b in whole and channel.restore(f"{a} {b}") == a + b:
+                        found.append(max(weights.get(f, 0.0) for f in stems(a + b)))
             return sum(sorted(found)[-STRONGEST:])
 
         return evidence
@@ -203,7 +246,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return character_costs(counts)
 
 
-def train(docs: DataFrame, labels: DataFrame, keep_label=None, rows: int = TRAINING_ROWS, features: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, keep_label=None, rows: int = TRAINING_ROWS) -> Model:
     """Fit a model to ``labels`` (doc_id, toxic), of which at most ``rows`` are used.
 
     ``keep_label`` is a condition on labels to learn from.  Labels that are null are
@@ -234,19 +277,18 @@ def train(docs: DataFrame, labels: DataFrame, keep_label=None, rows: int = TRAIN
         release()
 
     counted = chosen.mapInArrow(count, "f string, toxic int, n long").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("c"))
-    best = counted.filter("t >= 3 AND t >= c").orderBy((F.col("c") - F.col("t")), "f").limit(features).toPandas()
     rows_all = labels.join(F.broadcast(sample), ["doc_id", "toxic"], "left_semi")  # for the priors only
     sizes = dict(rows_all.groupBy("toxic").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return model
-    t, c = best["t"].to_numpy(dtype=float), best["c"].to_numpy(dtype=float)
-    odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
     # the likelihood ratio against a share as in all rows: rare words must be rarer than chance
-    share, base = t / (t + c), n_toxic / (n_toxic + n_clean)
-    gain = t * np.log(share / base) + np.where(c > 0, c * np.log(np.maximum(1 - share, 1e-12) / (1 - base)), 0)
-    good = (gain > 10) & (odds > 0)
-    model.weights = {f: float(w) for f, w, ok in zip(best["f"], odds, good) if ok and f}
+    t, c, base = F.col("t"), F.col("c"), n_toxic / (n_toxic + n_clean)
+    share = t / (t + c)
+    gain = t * F.log(share / base) + F.when(c > 0, c * F.log(F.greatest(1 - share, F.lit(1e-12)) / (1 - base))).otherwise(0.0)
+    odds = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    best = counted.filter((t >= 3) & (t >= c) & (gain > GAIN) & (F.length("f") > 0)).select("f", odds.alias("w")).filter("w > 0").toPandas()
+    model.weights = dict(zip(best["f"], best["w"].astype(float)))
     weighed = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Decoding of obfuscated words, and accuracy on texts held out."""
 
+import itertools
 import random
 
 import numpy as np
@@ -28,14 +29,37 @@ def test_words_are_restored():
     channel = toxicity.Channel(toxicity.character_costs(toxicity.trigram_counts([t for _, t in rows])))
     for token, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("p@thetic", "pathetic"), ("iiidiooot", "idiot"), ("$cum", "scum"), ("i.d.i.o.t", "idiot"), ("m-o-r-o-n", "moron"), ("garden", "garden")):
         assert "=" + word in channel.features(token), token
-    assert "idiot" in toxicity.tokens("you i d i o t there") and "y" in toxicity.tokens("a y b")
+    for token in ("you-idiot", "well...idiot", "the/1d10t", "i d i o t", "in i d i o t", "s c u m", "m o r o n s c u m"):
+        assert "=" + ("scum" if token.endswith("m") else "idiot") in channel.features(token), token
+    assert "=moron" in channel.features("m o r o n s c u m")
+    assert "i d i o t" in toxicity.tokens("you i d i o t there") and toxicity.tokens("a\ny") == {"a", "y"}
+    assert "a b c" in toxicity.tokens("A  b\n\tc") and "x ab c d" in toxicity.tokens("x ab c d long")
     assert channel.features("") == () and channel.features("ok") == ()
 
 
+def test_decoding_against_all_paths():
+    rows, _ = corpus(random.Random(5), 60)
+    channel = toxicity.Channel(toxicity.character_costs(toxicity.trigram_counts([t for _, t in rows])))
+
+    def cost(path):
+        total, a, b = 0.0, 0, 0
+        for read, more in path:
+            total += more
+            for c in read:
+                z = 0 if c == " " else toxicity.CODE.get(c, 1)
+                total, a, b = total + channel.costs[a, b, z], b, z
+        return total + channel.costs[a, b, 0]
+
+    for token in ("1d10t", "i d i", "a-1!t", "scuuumm", "s.c u", "no-1$ ab", "||", "ee tt ooo", "中x1"):
+        best = min(itertools.product(*channel.arcs(token)), key=cost)
+        assert cost(best) == min(map(cost, itertools.product(*channel.arcs(token))))
+        assert channel.restore(token) == "".join(r for r, _ in best), token
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(2)
     rows, labels = corpus(rng)
-    hidden = [(5000 + i, f"the river {w} and the stone") for i, w in enumerate(("1d10t", "m0r0n", "p a t h e t i c", "scuuum", "IDIOT!!", "moron,"))]
+    hidden = [(5000 + i, f"the river {w} and the stone") for i, w in enumerate(("1d10t", "m0r0n", "p a t h e t i c", "scuuum", "IDIOT!!", "moron,", "a  i d\ni o t", "the-idiot", "id iot", "mor on", "sccum", "s c u m i d i o t"))]
     more = [(6000, None), (6001, ""), (1, rows[1][1]), (None, "the garden")]
     docs = spark.createDataFrame([(*r, "en", 0.5) for r in rows + hidden + more], "doc_id long, text string, lang string, score double")
     known = spark.createDataFrame([*labels, (7777, 1), (None, 1), (3, None)], "doc_id long, toxic int")
