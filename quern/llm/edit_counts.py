@@ -5,7 +5,9 @@ blocks of them.  Whether a pre-token begins at a place depends only on the text
 the last boundary on, so after an edit it is enough to split again from a boundary
 before it (one pre-token of context more, as a match may look one character ahead)
 until a new boundary past the edit falls on an old one.  Those pre-tokens alone are
-encoded, and the sums on the paths to their blocks are updated.
+encoded, and the sums on the paths to their blocks are updated.  A special token is a
+pre-token of its own that ends those beside it; an edit can make or break one that begins
+up to its length before, so the new split begins that much earlier.
 """
 
 from __future__ import annotations
@@ -97,6 +99,8 @@ class EditCounter:
     def __init__(self, bpe: TrieBPE) -> None:
         self.bpe = bpe
         self.known: dict[str, int] = {}
+        #: Characters around an edit that may belong to a special token with it.
+        self.reach = max(map(len, bpe.special), default=0)
 
     def counts(self, words: list[str]) -> list[int]:
         known = self.known
@@ -116,26 +120,21 @@ class EditCounter:
     def edit(self, tree: CountTree, text: str, start: int, end: int, new: str) -> tuple[str, int]:
         """Replace ``text[start:end]``; returns the new text and how many pre-tokens were encoded again.
 
-        Places beyond the text are cut to it.  Texts with special tokens before or
-        after the edit are split from their start, as those tokens cut pre-tokens.
+        Places beyond the text are cut to it.
         """
         start = min(max(start, 0), len(text))
         end = min(max(end, start), len(text))
         out = text[:start] + new + text[end:]
-        if any(s in text or s in out for s in self.bpe.special):
-            fresh = self.build(out)
-            tree.fill(fresh.lengths, fresh.counts)
-            return out, sum(map(len, fresh.lengths))
-        block, index, at = tree.before(start)
+        block, index, at = tree.before(max(0, start - self.reach))
         shift = len(out) - len(text)
         made: list[str] = []
         b, i, old, new_at = block, index, at, at  # the next old pre-token, where it begins, where the next new one does
-        step, done = 256, False
+        step, done = 256 + self.reach, False
         past = start + len(new)
         while not done:
             stop = min(len(out), max(past, new_at) + step)
-            for word in self.bpe.words(out[new_at:stop]):
-                if stop < len(out) and new_at + len(word) + 1 >= stop:
+            for word in self.bpe.pieces(out[new_at:stop]):
+                if stop < len(out) and new_at + len(word) + 1 + self.reach >= stop:
                     break  # it may go on, or look beyond the part that was split
                 if new_at >= past:
                     while b < len(tree.lengths) and (i >= len(tree.lengths[b]) or old + shift < new_at or old < end):

@@ -30,13 +30,24 @@ def test_random_edits_match_full_encoding():
             assert again.total == tree.total
 
 
-def test_special_tokens_fall_back_to_a_full_split():
-    count = edit_counts.EditCounter(TrieBPE(PATH))
+def test_special_tokens_are_boundaries_in_the_tree():
+    bpe = TrieBPE(PATH)
     whole = tokenizers.Tokenizer.from_file(PATH)
-    text = "one <|endoftext two"
+    count, rng = edit_counts.EditCounter(bpe), random.Random(7)
+    letters = ["<|endoftext|>", "<|endof", "text|>", "<|", "|>", "text", "endoftext", " ", "  ", "\n\n", "a", "12"]
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(300):
+        text = make(rng.choice([0, 2, 30, 200]))
+        tree = count.build(text)
+        for _ in range(6):
+            start = rng.randint(0, len(text))
+            text, _ = count.edit(tree, text, start, start + rng.choice([0, 1, 3, 20]), make(rng.choice([0, 1, 3])))
+            assert tree.total == len(whole.encode(text, add_special_tokens=False).ids)
+            assert [x for b in tree.lengths for x in b] == list(map(len, bpe.pieces(text)))
+    text = "some words and <|endoftext|> " * 3000
     tree = count.build(text)
-    text, _ = count.edit(tree, text, 15, 15, "|>")
-    assert "<|endoftext|>" in text and tree.total == len(whole.encode(text).ids)
+    text, again = count.edit(tree, text, 40_000, 40_002, "x")
+    assert again < 40 and tree.total == len(whole.encode(text, add_special_tokens=False).ids)
 
 
 def test_work_is_local(spark):
