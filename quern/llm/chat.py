@@ -3,7 +3,8 @@
 A record's *schema fingerprint* is a hash of its sorted nested field paths.  It
 selects a declarative ``Mapping`` (expressions over the record) that yields
 canonical turns; no data is looked at to guess a layout.  Records may be columns of
-a DataFrame (one fingerprint for all rows) or JSON strings (one for each row).
+a DataFrame (one fingerprint for all rows) or JSON strings (one for each row); a record may
+also be spread over rows, one for each turn.
 
 Formatted text marks each turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside
 texts and roles ``<``, any backslashes, ``|`` gets one more backslash, so no control
@@ -30,19 +31,29 @@ class Mapping:
 
     Either ``listed`` names an array and the role and text fields of its elements,
     or ``single`` lists (role, fields) pairs in order: the fields that are not empty
-    are joined by a blank line, and a system turn without text is left out.
+    are joined by a blank line, and a system turn without text is left out.  ``spread``
+    names the fields of a record's key, of the place, the role and the text of a turn, in a
+    table that has a row for each turn.
     """
 
     name: str
     listed: tuple[str, str, str] | None = None
     single: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    spread: tuple[str, str, str, str] | None = None
 
     @property
     def paths(self) -> list[str]:
+        if self.spread:
+            return sorted(self.spread)
         if self.listed:
             return sorted(f"{self.listed[0]}[].{x}" for x in self.listed[1:])
         return sorted(f for _, fields in self.single for f in fields)
 
+    @property
+    def renamed(self) -> bool:
+        """Whether roles of a table of turns go by other names."""
+        return bool(self.spread) and self.spread[2] != "role"
+
     @property
     def kind(self) -> str:
         """The layout as a type."""
@@ -85,8 +96,12 @@ MAPPINGS = (
     _said("instruction", ("instruction",), "output"),
     _said("instruction_input", ("instruction", "input"), "output"),
 )
-#: The layout of a table that has one row for each turn.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
+#: Layouts of tables that have a row for each turn.
+SPREAD = (
+    Mapping("turn_rows", spread=("conv_id", "turn", "role", "text")),
+    Mapping("message_rows", spread=("conversation_id", "position", "role", "content")),
+    Mapping("shared_rows", spread=("id", "index", "from", "value")),
+)
 
 
 def fingerprint(paths) -> str:
@@ -155,17 +170,29 @@ def canonical_json(records: DataFrame, column: str, mappings=MAPPINGS) -> DataFr
     return out.withColumns({"layout": layout, "turns": turns})
 
 
-def canonical(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
-    """Canonical ``turns`` of a typed table, chosen by its schema's fingerprint.
+def selected(schema: T.StructType, mappings=MAPPINGS + SPREAD) -> Mapping:
+    """The mapping whose fingerprint the table has among those of its field paths.
 
-    Columns outside the layout are passed through; the mapping with most fields that
-    the table has all of wins.  Raises ``ValueError`` if none fits.
+    Columns outside a layout do not count; the layout with most fields that the table has
+    all of wins.  Raises ``ValueError`` if none fits.
     """
-    have = set(field_paths(records.schema))
-    fits = {fingerprint(m.paths): m for m in mappings if have.issuperset(m.paths)}
+    have = field_paths(schema)
+    by_print = {fingerprint(m.paths): m for m in mappings}
+    prints = {fingerprint(p for p in have if p in m.paths) for m in mappings}
+    fits = [by_print[x] for x in prints if x in by_print]
     if not fits:
         raise ValueError(f"no mapping for a schema with the fields {sorted(have)}")
-    m = max(fits.values(), key=lambda m: len(m.paths))
+    return max(fits, key=lambda m: (len(m.paths), m.name))
+
+
+def canonical(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
+    """Canonical ``turns`` of a typed table, by the mapping that its schema's fingerprint selects.
+
+    Columns outside the layout are passed through, repeated rows too.  A null record, as one
+    whose array of messages is null, has null turns; null fields of a message stay null,
+    and a null field of a prompt counts as empty.  Raises ``ValueError`` if no mapping fits.
+    """
+    m = selected(records.schema, mappings)
     top = [m.listed[0]] if m.listed else m.paths
     return records.withColumn("turns", m.turns(F.struct(*[records[c] for c in top])).cast(TURNS))
 
@@ -178,22 +205,23 @@ def format_turns(records: DataFrame, turns: str = "turns") -> DataFrame:
     return records.withColumns({"formatted": F.array_join(F.transform(kept, lambda t: _turn(role(t), text(t))), ""), "mask": F.transform(mask, lambda m: m.dropFields("loss"))})
 
 
-def format_rows(rows: DataFrame) -> DataFrame:
+def format_rows(rows: DataFrame, mappings=SPREAD) -> DataFrame:
     """One formatted text for each conversation of a table with a row for each turn.
 
-    The table's fingerprint must be that of ``TURN_ROWS`` once other columns are left
-    out (they are not read).  Turns go by ``turn``, null first, ties by role, then text;
-    repeated rows are repeated turns; null roles and texts are empty, and rows without
-    a conversation are one conversation of their own.  Returns ``conv_id``,
+    The table's fingerprint selects the mapping that says which of its columns are the
+    conversation, the turn, the role and the text; other columns are not read, and
+    ``ValueError`` is raised if no mapping fits.  Turns go by their place, null first, ties by role,
+    then text; repeated rows are repeated turns; null roles and texts are empty, and rows
+    without a conversation are one conversation of their own.  Returns ``conv_id``,
     ``formatted`` and ``mask``: for each assistant turn its place among the turns (from
     1), where its text starts inside the turn (from 1) and its length, all in code
     points.  Each turn is formatted before the shuffle, and partial lists are merged.
     """
-    if fingerprint(p for p in field_paths(rows.schema) if p in TURN_ROWS) != fingerprint(TURN_ROWS):
-        raise ValueError(f"not a table of turns: {rows.columns}")
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    m = selected(rows.schema, mappings)
+    key, place, role, text = map(F.col, m.spread)
+    role, text = (F.coalesce(c.cast("string"), F.lit("")) for c in (_known(role) if m.renamed else role, text))
     # the head's length comes from the role, the text's from the whole turn: texts are escaped once
-    turns = rows.select("conv_id", "turn", role.alias("role"), _turn(role, text).alias("piece"), F.length(_head(role)).alias("head"))
+    turns = rows.select(key.alias("conv_id"), place.alias("turn"), role.alias("role"), _turn(role, text).alias("piece"), F.length(_head(role)).alias("head"))
     said = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "piece", "head"))).alias("said"))
     places = F.transform("said", lambda t, i: F.struct((i + 1).alias("turn"), (t["head"] + 1).alias("start"), (F.length(t["piece"]) - t["head"] - len(END) - 1).alias("chars"), (t["role"] == "assistant").alias("loss")))
     mask = F.transform(F.filter(places, lambda m: m["loss"]), lambda m: m.dropFields("loss"))

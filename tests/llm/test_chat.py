@@ -28,6 +28,15 @@ def test_rows_are_read_back(spark):
         chat.format_rows(df.drop("role"))
 
 
+def test_row_layouts_are_selected_by_their_fingerprints(spark):
+    assert chat.selected(spark.createDataFrame([], "conv_id long, turn int, role string, text string, id long").schema, chat.SPREAD).name == "turn_rows"
+    other = spark.createDataFrame([(1, 2, "gpt", "a"), (1, 1, "human", "q")], "id long, index int, from string, value string")
+    made = chat.read_back(chat.format_rows(other)).first()
+    assert made.conv_id == 1 and [tuple(t) for t in made.turns] == [("user", "q"), ("assistant", "a")] and list(made.loss_texts) == ["a"]
+    kept = chat.read_back(chat.format_rows(spark.createDataFrame([(1, 1, "human", "q")], "conv_id long, turn int, role string, text string"))).first()
+    assert kept.turns[0].role == "human"
+
+
 def test_layouts(spark):
     records = [
         {"messages": [{"role": "user", "content": "q"}, {"content": "a", "role": "assistant"}]},
