@@ -212,6 +212,8 @@ def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
 
 #: Shuffle files of a job that writes a table go when it has ended; a lost executor's are made again while it runs.
 CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Writers look at the sizes of pages and row groups after a few rows, as a row may hold megabytes.
+SMALL_PAGES = {"parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "64", "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "64", "parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -231,13 +233,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` in the shared folder, in folders ``by`` columns, and read it back, which cuts its lineage."""
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     _MADE.append((spark, path))
     with configured(spark, CLEAN):
-        df.write.parquet(path, partitionBy=list(by) or None)
+        df.write.options(**SMALL_PAGES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out

@@ -25,16 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import groups
-from quern.llm.common import CLEAN, Words, configured, delete, drop, keep, shared_dir, text_buffers
+from quern.llm.common import CLEAN, SMALL_PAGES, Words, configured, delete, drop, keep, shared_dir, text_buffers
 
 WINDOW = 13
 #: Batches that documents are cut into, and runs that the index may have before they are compacted.
 BATCHES, RUNS = 4, 2
 
 _ENTRIES = "bucket long, grp long, n long, data binary"
-_STORED = "bucket long, grp long, n long, hits long, data binary, more binary, kind int"
-#: Kinds of stored rows: the answers to groups of the latest batch, and runs.
-_ANSWER, _RUN = 0, 1
+#: Answers to groups have ``bits`` and ``sources``, runs have ``run`` and a negative ``grp``: in files of columns, each is read without the other.
+_STORED = "bucket long, grp long, n long, hits long, bits binary, sources binary, run binary"
 #: Kinds of what a group finds: where repeats begin, passages to verify, and its documents.
 _BEGINS, _PASSAGE, _MEMBERS = 0, 1, 2
 Run = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -128,6 +127,11 @@ def _entries(packed: DataFrame, bits: int, width: int, check: int) -> DataFrame:
     return packed.groupBy("grp").applyInArrow(groups.released(make), _ENTRIES)
 
 
+def _stored(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=["bucket", "grp", "n", "hits", "bits", "sources", "run"])
+
+
 def _joined(history: DataFrame, entries: DataFrame, check: int) -> DataFrame:
     """Of each range the answers to its groups and the run of what the batch adds to history."""
 
@@ -135,7 +139,7 @@ def _joined(history: DataFrame, entries: DataFrame, check: int) -> DataFrame:
         made: list[tuple] = []
         if rows.num_rows:
             bucket = rows.column("bucket")[0].as_py()
-            before = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(old.column("data"), old.column("n").to_pylist())])
+            before = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(old.column("run"), old.column("n").to_pylist())])
             asked = [_decoded(d.as_py(), n, check) for d, n in zip(rows.column("data"), rows.column("n").to_pylist())]
             batch = _compacted(asked)
             all_of_it = _compacted([before, batch])
@@ -143,11 +147,10 @@ def _joined(history: DataFrame, entries: DataFrame, check: int) -> DataFrame:
                 source = _looked_up(all_of_it, one)
                 hit = source < one[1]
                 said = source[hit]
-                made.append((bucket, grp, len(hit), len(said), np.packbits(hit).tobytes(), groups.code(np.zeros(len(said), dtype=np.uint64), said), _ANSWER))
+                made.append((bucket, grp, len(hit), len(said), np.packbits(hit).tobytes(), groups.code(np.zeros(len(said), dtype=np.uint64), said), None))
             more = batch[1] < _looked_up(before, batch)
-            made.append((bucket, -1, int(more.sum()), 0, _coded(tuple(x[more] for x in batch), check), b"", _RUN))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 7, kinds)], names=["bucket", "grp", "n", "hits", "data", "more", "kind"])
+            made.append((bucket, -1, int(more.sum()), 0, None, None, _coded(tuple(x[more] for x in batch), check)))
+        return _stored(made)
 
     return history.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(groups.released(make), _STORED)
 
@@ -173,13 +176,13 @@ def _passages(w: _Windows, begins: np.ndarray, doc: np.ndarray, source: np.ndarr
 
 def _found(packed: DataFrame, answers: DataFrame, width: int, check: int) -> DataFrame:
     """For each group the words at which a repeat begins, the passages to verify, and its documents' ids."""
-    schema = "kind int, grp long, n long, source long, digest binary, data binary"
+    schema = "kind int, grp long, n long, places binary, source long, digest binary, passage binary"
 
     def make(rows: pa.Table, said: pa.Table) -> pa.Table:
         grp = rows.column("grp")[0].as_py()
         w = _Windows(groups.unpack(rows), width, check)
         source = [np.zeros(0, dtype=np.int64)]
-        for _, bits, n, hits, more in sorted(zip(*(said.column(c).to_pylist() for c in ("bucket", "data", "n", "hits", "more")))):
+        for _, bits, n, hits, more in sorted(zip(*(said.column(c).to_pylist() for c in ("bucket", "bits", "n", "hits", "sources")))):
             hit = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n).astype(bool)
             part = np.full(n, np.iinfo(np.int64).max)
             part[hit] = groups.decode(more, hits, np.int64)[1]
@@ -191,12 +194,12 @@ def _found(packed: DataFrame, answers: DataFrame, width: int, check: int) -> Dat
         least = np.minimum(least, w.least)[w.entry] if len(w.at) else w.least
         hit = least < w.doc_id
         begins = np.sort(w.at[hit])
-        made = [(_BEGINS, grp, len(begins), 0, b"", groups.code(begins.astype(np.uint64)))]
+        made: list[tuple] = [(_BEGINS, grp, len(begins), groups.code(begins.astype(np.uint64)), None, None, None)]
         ids = np.unique(w.ids)
-        made.append((_MEMBERS, grp, len(ids), 0, b"", groups.code(ids.astype(np.uint64))))
-        made += [(_PASSAGE, grp, 0, of, digest, text) for (of, digest), text in _passages(w, w.at[hit], w.doc[hit], least[hit], width).items()]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["kind", "grp", "n", "source", "digest", "data"])
+        made.append((_MEMBERS, grp, len(ids), groups.code(ids.astype(np.uint64)), None, None, None))
+        made += [(_PASSAGE, grp, 0, None, of, digest, text) for (of, digest), text in _passages(w, w.at[hit], w.doc[hit], least[hit], width).items()]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["kind", "grp", "n", "places", "source", "digest", "passage"])
 
     return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(groups.released(make), schema)
 
@@ -215,12 +218,12 @@ def _unverified(packed: DataFrame, found: DataFrame, width: int) -> DataFrame:
 
     def listed(batches):
         for batch in batches:
-            for grp, n, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "n", "data"))):
+            for grp, n, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "n", "places"))):
                 ids = groups.decode(data, n)[0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), grp))], names=["source", "grp"])
 
-    passages = found.filter(f"kind = {_PASSAGE}").select("source", "digest", "data").dropDuplicates(["source", "digest"])
-    members = found.filter(f"kind = {_MEMBERS}").select("grp", "n", "data").mapInArrow(listed, "source long, grp long")
+    passages = found.filter(f"kind = {_PASSAGE}").select("source", "digest", "passage").dropDuplicates(["source", "digest"])
+    members = found.filter(f"kind = {_MEMBERS}").select("grp", "n", "places").mapInArrow(listed, "source long, grp long")
     asked = passages.join(members, "source")
 
     def make(rows: pa.Table, said: pa.Table) -> pa.Table:
@@ -232,7 +235,7 @@ def _unverified(packed: DataFrame, found: DataFrame, width: int) -> DataFrame:
             wanted: dict[int, list[bytes]] = {}
             for i in np.flatnonzero(np.isin(ids, said.column("source").to_numpy())).tolist():
                 wanted.setdefault(int(ids[i]), []).append(b" " + b" ".join((texts[i].as_py() or "").encode().split()) + b" ")
-            for source, digest, text in zip(*(said.column(c).to_pylist() for c in ("source", "digest", "data"))):
+            for source, digest, text in zip(*(said.column(c).to_pylist() for c in ("source", "digest", "passage"))):
                 made.append((source, digest, _holds(wanted.get(source, []), text, width)))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 3, kinds)], names=["source", "digest", "there"])
 
@@ -260,7 +263,7 @@ def _applied(packed: DataFrame, found: DataFrame, docs: DataFrame, width: int) -
     def make(rows: pa.Table, said: pa.Table) -> pa.Table:
         table = groups.unpack(rows)
         words = Words(*text_buffers(table.column("text")))
-        begins = groups.decode(said.column("data")[0].as_py(), said.column("n")[0].as_py())[0].astype(np.int64)
+        begins = groups.decode(said.column("places")[0].as_py(), said.column("n")[0].as_py())[0].astype(np.int64)
         cover = np.zeros(len(words) + width, dtype=np.int64)
         np.add.at(cover, begins, 1)
         np.add.at(cover, begins + width, -1)
@@ -268,7 +271,7 @@ def _applied(packed: DataFrame, found: DataFrame, docs: DataFrame, width: int) -
         removed = np.concatenate([[0], np.cumsum(gone)])[words.first]
         return table.append_column("kept", _kept(words, gone)).append_column("n_words", pa.array(np.diff(words.first), pa.int64())).append_column("n_removed", pa.array(np.diff(removed), pa.int64()))
 
-    begins = found.filter(f"kind = {_BEGINS}").select("grp", "n", "data")
+    begins = found.filter(f"kind = {_BEGINS}").select("grp", "n", "places")
     return packed.groupBy("grp").cogroup(begins.groupBy("grp")).applyInArrow(groups.released(make), schema)
 
 
@@ -298,7 +301,7 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
         parts = []
         for k in range(len(bounds) + 1):
             answers = own.add(_entries(packed(k), own.bits, width, check))
-            parts.append(keep(_found(packed(k), answers, width, check), "found", "kind"))
+            parts.append(keep(_found(packed(k), answers, width, check), "found"))
             own.compact()
         if index is None:
             own.remove()
@@ -322,7 +325,7 @@ class SubstringIndex:
 
     def __init__(self, spark: SparkSession, path: str, bits: int = 6, check: int = 4) -> None:
         self.spark, self.path, self.bits, self.check = spark, path.rstrip("/"), bits, check
-        self.buckets = max(1, (1 << bits) // 8)
+        self.buckets = 1 << max(bits - 4, min(bits, 5))
         self.generation = max((int(p.rsplit("-", 1)[1]) for p in self._folders()), default=0)
         self._open()
 
@@ -337,29 +340,32 @@ class SubstringIndex:
         return f"quern_index_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{generation}"
 
     def _open(self) -> None:
-        columns = "bucket BIGINT, grp BIGINT, n BIGINT, hits BIGINT, data BINARY, more BINARY, run INT, kind INT"
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(self.generation)} ({columns}) USING parquet PARTITIONED BY (run, kind) CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/gen-{self.generation}'")
+        columns = f"{_STORED}, batch int"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(self.generation)} ({columns}) USING parquet PARTITIONED BY (batch) CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/gen-{self.generation}'")
 
-    def _write(self, rows: DataFrame, run: int, generation: int) -> None:
-        ready = rows.withColumn("run", F.lit(run)).select("bucket", "grp", "n", "hits", "data", "more", "run", "kind")
+    def _write(self, rows: DataFrame, batch: int, generation: int) -> None:
         with configured(self.spark, CLEAN):
-            ready.write.format("parquet").partitionBy("run", "kind").bucketBy(self.buckets, "bucket").mode("append").option("path", f"{self.path}/gen-{generation}").saveAsTable(self._name(generation))
+            out = rows.withColumn("batch", F.lit(batch)).write.format("parquet").options(compression="uncompressed", **SMALL_PAGES)
+            out.partitionBy("batch").bucketBy(self.buckets, "bucket").mode("append").option("path", f"{self.path}/gen-{generation}").saveAsTable(self._name(generation))
 
     def _table(self) -> DataFrame:
         return self.spark.table(self._name(self.generation))
 
+    def _history(self) -> DataFrame:
+        return self._table().filter("grp < 0").select("bucket", "n", "run")
+
     def _latest(self) -> int:
-        return self._table().agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0]
+        return self._table().agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
     def runs(self) -> int:
         """How many runs there are."""
-        return self._table().filter(f"kind = {_RUN}").select("run").distinct().count()
+        return self._table().select("batch").distinct().count()
 
     def add(self, entries: DataFrame) -> DataFrame:
         """Merge a batch's entries with all runs, keep what is new as one more, and give the answers to its groups."""
-        run = self._latest() + 1
-        self._write(_joined(self._table().filter(f"kind = {_RUN}"), entries, self.check), run, self.generation)
-        return self._table().filter(f"run = {run} AND kind = {_ANSWER}").drop("run", "kind")
+        batch = self._latest() + 1
+        self._write(_joined(self._history(), entries, self.check), batch, self.generation)
+        return self._table().filter(f"batch = {batch} AND grp >= 0").select("bucket", "grp", "n", "hits", "bits", "sources")
 
     def compact(self, most: int = RUNS) -> None:
         """Merge all runs into one if there are more than ``most``.  Answers that are still to be read go, too."""
@@ -368,13 +374,11 @@ class SubstringIndex:
         check = self.check
 
         def merged(rows: pa.Table) -> pa.Table:
-            run = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(rows.column("data"), rows.column("n").to_pylist())])
-            made = (rows.column("bucket")[0].as_py(), -1, len(run[0]), 0, _coded(run, check), b"", _RUN)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
-            return pa.table([pa.array([c], k) for c, k in zip(made, kinds)], names=["bucket", "grp", "n", "hits", "data", "more", "kind"])
+            run = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(rows.column("run"), rows.column("n").to_pylist())])
+            return _stored([(rows.column("bucket")[0].as_py(), -1, len(run[0]), 0, None, None, _coded(run, check))])
 
         old, last = self.generation, self._latest()
-        self._write(self._table().filter(f"kind = {_RUN}").groupBy("bucket").applyInArrow(groups.released(merged), _STORED), last, old + 1)
+        self._write(self._history().groupBy("bucket").applyInArrow(groups.released(merged), _STORED), last, old + 1)
         self.generation = old + 1
         self._forget(old)
 

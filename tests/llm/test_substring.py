@@ -91,8 +91,8 @@ def test_words_that_collide_under_polynomials_stay(spark):
 def test_passages_are_verified_by_words(spark):
     docs = spark.createDataFrame([(1, "a b  c\nd"), (1, "x y z"), (1, "z x"), (2, "a b")], "doc_id long, text string")
     packed = groups.pack(docs, 1)
-    member = (2, 0, 2, 0, b"", groups.code(np.array([1, 2], dtype=np.uint64)))
+    member = (2, 0, 2, groups.code(np.array([1, 2], dtype=np.uint64)), None, None, None)
     passages = [(1, b"there", b"b c d"), (1, b"other row", b"x y z"), (1, b"half a word", b"b c"), (2, b"not", b"b c"), (1, b"cut", b"y"), (1, b"two places", b"z x y")]
-    found = spark.createDataFrame([member, *((1, 0, 0, *p) for p in passages)], "kind int, grp long, n long, source long, digest binary, data binary")
+    found = spark.createDataFrame([member, *((1, 0, 0, None, *p) for p in passages)], "kind int, grp long, n long, places binary, source long, digest binary, passage binary")
     assert [bytes(r.digest) for r in substring._unverified(packed, found, 2).collect()] == [b"not"]
     assert substring.check_bytes(1 << 20) == 1 and substring.check_bytes(1 << 45) == 6
