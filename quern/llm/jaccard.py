@@ -2,22 +2,26 @@
 
 Equal shingle sets form a class and are handled once.  In each of ``RUNS`` runs a set
 takes every token whose hash falls below ``BRANCH / size``: the same tokens in all
-sets that hold them and are of its size, so alike sets share some.  Sets that took one token
-form a bucket; a bucket of more than ``SMALL`` sets is split again by a second token,
-taken by a hash of the path so far.  Small buckets are compared all with all; what
-is larger than ``TILE`` is compared in tiles of that many sets by as many.  In a bucket
-sets are compared by sketches of 512 bits first, and sets that may be alike by their
-whole shingle sets.  A pair belongs to the smallest bucket that both sets are in, so
-no pair counts twice and no list of pairs is made.
-
-Two sets of likeness 0.8 share at least 1.6 expected tokens a run, so they share one
-in some run with probability 1 - exp(-9.6); where the bucket is split, and a token
-survives a second level with probability 0.8, 1 - exp(-7.7).
+sets that hold them and are of its size, so alike sets share some.  Sets that took one
+token form a bucket.  A bucket of more than ``SMALL`` sets is split by further tokens, taken
+by a hash of the path so far, again and again down to ``DEPTH`` tokens; one whose parts
+would be more work than itself, as in a group of near copies that share most tokens, is left
+whole.  Buckets are compared all with all, in tiles of ``TILE`` sets by as many where they
+are larger: sets by sketches of 512 bits first, and those that may be alike by their whole
+shingle sets.  A pair belongs to the smallest bucket that both sets are in, so no pair counts
+twice and no list of pairs is made.
+
+Two sets of likeness 0.8 share at least 1.6 expected tokens at each step of a path (at
+1.6 the smaller set is part of the larger), so the number of paths that they share is a
+branching process.  It survives any number of steps with the probability that solves
+q = 1 - exp(-1.6 q), and in r runs a pair is lost with probability exp(-1.6 r q) at most:
+the runs are repeated until ``RECALL`` is reached.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +33,22 @@ from quern.llm import groups
 from quern.llm.common import Words, arrow_rows, drop, keep, mix, release, shingle_sets, slices, splitmix, text_buffers
 
 WIDTH, LIKENESS = 5, 0.8
-RUNS, BRANCH = 6, 2.0
-#: Sets that a bucket may have before it is split by a second token, and sets that are compared with each other at once.
-SMALL, TILE = 2048, 1024
+BRANCH = 2.0
+
+
+def runs_for(recall: float, likeness: float = LIKENESS, branch: float = BRANCH) -> int:
+    """Runs after which two sets of that likeness have met with that probability, however often buckets are split."""
+    shared, survives = branch * likeness, 1.0
+    for _ in range(200):
+        survives = 1 - math.exp(-shared * survives)
+    return math.ceil(-math.log(1 - recall) / (shared * survives))
+
+
+#: The share of pairs of likeness 0.8 that are found at least; of likelier pairs it is more.
+RECALL = 0.997
+RUNS = runs_for(RECALL)
+#: Sets that a bucket may have before it is split, tokens of a path at most, and sets that are compared with each other at once.
+SMALL, DEPTH, TILE = 2048, 8, 1024
 BITS = 512
 #: Standard deviations by which a sketch may underrate a pair that is compared in full.
 SLACK = 5.0
@@ -81,10 +98,12 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits((mix(shingles[filled] ^ _SALT) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
-def signatures(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``doc_id``, ``cls`` (digest of the shingle set), ``size``, ``sketch`` and paths; no ``cls`` without words."""
+def signatures(docs: DataFrame, text: str = "text", width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``cls`` (digest of the shingle set), ``size``, ``sketch``, paths and the columns of ``carry``; no ``cls`` without words."""
     arrow_rows(docs.sparkSession)
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *carry)
     schema = "doc_id long, cls binary, size long, sketch binary, one array<long>, two array<long>, parent array<long>"
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -97,25 +116,58 @@ def signatures(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataF
                 one, two, parent = (x.view(np.int64) for x in paths(s))
                 rows.append((digest(s), len(s), sketch(s), one, two, parent))
             kinds = (pa.binary(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "cls", "size", "sketch", "one", "two", "parent"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *batch.columns[2:]], names=["doc_id", "cls", "size", "sketch", "one", "two", "parent", *carry])
         release()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
-def _buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
-    """Rows (``leaf``, ``tile_a``, ``tile_b``, ``side``, ``cls``): the buckets to compare, large ones in tiles."""
+def _next_paths(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(``cls``, ``parent``, ``path``): the paths that members (``cls``, ``path``) go on by, from their shingle sets."""
 
-    def sized(members: DataFrame) -> DataFrame:
-        counts = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return members.join(counts, "path")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, known, size, shingles in zip(*(batch.column(c).to_pylist() for c in ("cls", "paths", "size", "shingles"))):
+                parents = np.array(known, dtype=np.int64)
+                made, number = _taken(groups.decode(shingles, size)[0], mix(parents.view(np.uint64)) | np.uint64(1), BRANCH)
+                yield pa.RecordBatch.from_arrays([pa.array([cls] * len(made), pa.binary()), pa.array(parents[number]), pa.array(made.view(np.int64))], names=["cls", "parent", "path"])
+        release()
 
-    one = keep(sized(classes.select("cls", F.explode("one").alias("path"))), "paths")
-    pairs = F.filter(F.arrays_zip(F.col("parent"), F.col("two")), lambda x: x["parent"] == F.col("path"))
-    two = sized(one.filter(f"n > {small}").select("cls", "path").join(classes.select("cls", "parent", "two"), "cls").select("cls", F.explode(pairs).alias("x")).select("cls", F.col("x.two").alias("path")).distinct())
-    leaves = keep(one.filter(f"n <= {small}").select("cls", "path", "n").unionByName(two.select("cls", "path", "n")), "leaves")
-    drop(one)
-    return leaves
+    lists = members.groupBy("cls").agg(F.collect_list("path").alias("paths")).join(classes.select("cls", "size"), "cls")
+    return _with_sets(lists, classes, docs, width).select("cls", "paths", "size", "shingles").mapInArrow(run, "cls binary, parent long, path long")
+
+
+def _buckets(classes: DataFrame, docs: DataFrame, width: int, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """Rows (``cls``, ``path``, ``n``): the buckets to compare and their numbers of members."""
+
+    def sized(members: DataFrame, *keys: str) -> DataFrame:
+        return keep(members.join(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), list(keys)), "paths")
+
+    made = [sized(classes.select("cls", F.explode("one").alias("path")), "path")]
+    leaves, big = [made[0].filter(f"n <= {small}")], made[0].filter(f"n > {small}")
+    for level in range(2, depth + 1):
+        if not big.limit(1).count():
+            break
+        if level == 2:
+            pairs = F.filter(F.arrays_zip(F.col("parent"), F.col("two")), lambda x: x["parent"] == F.col("path"))
+            found = big.join(classes.select("cls", "parent", "two"), "cls").select("cls", F.explode(pairs).alias("x")).select("cls", "x.parent", F.col("x.two").alias("path"))
+        else:
+            found = _next_paths(big, classes, docs, width)
+        parts = sized(found.distinct(), "parent", "path")
+        work = parts.groupBy("parent", "path").agg(F.first("n").alias("n")).groupBy(F.col("parent").alias("path")).agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+        whole = big.groupBy("path").agg(F.first("n").alias("n")).join(work, "path", "left").filter("work >= n * n").select("path")
+        leaves.append(big.join(whole, "path", "left_semi"))
+        parts = parts.join(whole.withColumnRenamed("path", "parent"), "parent", "left_anti").select("cls", "path", "n")
+        parts = keep(parts, "paths")
+        made.append(parts)
+        leaves.append(parts.filter(f"n <= {small}"))
+        big = parts.filter(f"n > {small}")
+    out = big
+    for leaf in leaves:
+        out = out.unionByName(leaf.select(*out.columns))
+    out = keep(out, "leaves")
+    drop(*made)
+    return out
 
 
 def _tiles(leaves: DataFrame, classes: DataFrame, small: int = TILE) -> DataFrame:
@@ -163,19 +215,19 @@ def _possible(sizes: np.ndarray, sketches: list[bytes], leaves: list, leaf: int,
     """Which pairs of a tile are its own and may be alike: an upper triangular matrix."""
     n = len(sizes)
     signs = np.unpackbits(np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(n, -1), axis=1).astype(np.float32) * 2 - 1
-    guess = signs @ signs.T
-    guess /= BITS
     sizes = sizes.astype(np.float32)
+    # of two sides, one is compared with the other; else all with all
+    left, right = (np.arange(n),) * 2 if sides is None else (np.flatnonzero(~sides), np.flatnonzero(sides))
+    guess = signs[left] @ signs[right].T
+    guess /= BITS
     # of a pair the smaller set decides how far its sketch may be off
-    ok = guess >= np.minimum(likeness - SLACK * 0.65 / np.sqrt(np.minimum(BITS, sizes)), 1)[:, None]
-    ok |= guess >= np.minimum(likeness - SLACK * 0.65 / np.sqrt(np.minimum(BITS, sizes)), 1)[None, :]
+    bar = np.minimum(likeness - SLACK * 0.65 / np.sqrt(np.minimum(BITS, sizes)), 1)
+    ok = guess >= bar[left][:, None]
+    ok |= guess >= bar[right][None, :]
     del guess
     low = np.float32(likeness) * sizes * np.float32(1 - 1e-6)
-    ok &= sizes[:, None] >= low[None, :]
-    ok &= sizes[None, :] >= low[:, None]
-    ok &= np.triu(np.ones((n, n), dtype=bool), 1)
-    if sides is not None:
-        ok &= sides[:, None] != sides[None, :]
+    ok &= sizes[left][:, None] >= low[right][None, :]
+    ok &= sizes[right][None, :] >= low[left][:, None]
     # a pair is compared in the smallest leaf that both have
     below = [[x for x in row if x < leaf] for row in leaves]
     names = {x: i for i, x in enumerate(sorted({x for row in below for x in row}))}
@@ -183,8 +235,12 @@ def _possible(sizes: np.ndarray, sketches: list[bytes], leaves: list, leaf: int,
         has = np.zeros((n, len(names)), dtype=np.float32)
         for i, row in enumerate(below):
             has[i, [names[x] for x in row]] = 1
-        ok &= has @ has.T < 0.5
-    return ok
+        ok &= has[left] @ has[right].T < 0.5
+    if sides is None:
+        return np.triu(ok, 1)
+    full = np.zeros((n, n), dtype=bool)
+    full[np.ix_(left, right)] = ok
+    return np.triu(full | full.T, 1)
 
 
 def _candidates(tiles: DataFrame, likeness: float) -> DataFrame:
@@ -317,15 +373,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates_of(docs: DataFrame, text: str, width: int, likeness: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _candidates_of(docs: DataFrame, text: str, width: int, likeness: float, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     if text != "text":
-        docs = docs.select("doc_id", F.col(text).alias("text"))
-    sig = keep(signatures(docs, "text", width), "signatures")
+        docs = docs.select("doc_id", F.col(text).alias("text"), *carry)
+    sig = keep(signatures(docs, "text", width, carry), "signatures")
     same = sig.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "sketch", "one", "two", "parent")))
     classes = keep(same, "classes")
-    members = keep(sig.select("doc_id", "cls"), "members")
+    members = keep(sig.select("doc_id", "cls", *carry), "members")
     drop(sig)
-    leaves = _buckets(classes)
+    leaves = _buckets(classes, docs, width)
     possible = keep(_candidates(_tiles(leaves, classes), likeness), "possible")
     drop(leaves)
     return members, classes, _with_sets(possible, classes, docs, width)
@@ -339,23 +395,50 @@ def pairs(docs: DataFrame, text: str = "text", width: int = WIDTH, likeness: flo
     return made.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "likeness")
 
 
-def join(docs: DataFrame, text: str = "text", width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", width: int = WIDTH, likeness: float = LIKENESS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: its class of near copies and its links.
 
     Returns ``doc_id``, ``class_id`` (the smallest id of all documents that it is linked
     to, directly or over others), ``copy_of`` (the smallest id with an equal shingle
-    set) and ``n_links`` (other documents whose likeness is at least ``likeness``, equal
-    ones included).  A text of fewer words than ``width`` is one shingle; null and empty
-    texts are linked to none, and each is a class of its own.  Rows are documents:
-    repeated rows are linked.  Ids that are null count as larger than any.
+    set), ``n_links`` (other documents whose likeness is at least ``likeness``, equal
+    ones included), ``class_key`` (a digest that names the class, as ids may repeat) and the
+    columns of ``carry``.  A text of fewer words than ``width`` is one shingle; null and
+    empty texts are linked to none, and each is a class of its own without a key.  Rows are
+    documents: repeated rows are linked.  Ids that are null count as larger than any.  An empty
+    table gives an empty one.
     """
-    members, classes, found = _candidates_of(docs, text, width, likeness)
+    members, classes, found = _candidates_of(docs, text, width, likeness, carry)
     linked = keep(_verified(found, likeness, False), "linked")
     label = components(linked)
     counts = linked.groupBy("cls").agg(F.sum("docs").alias("docs"))
     near = classes.select("cls", "rep", "copies").join(counts, "cls", "left").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = near.groupBy("label").agg(F.min("rep").alias("class_id"))
-    info = near.join(least, "label").select("cls", "class_id", F.col("rep").alias("copy_of"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    info = near.join(least, "label").select("cls", "class_id", F.col("rep").alias("copy_of"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.hex("label").alias("class_key"))
     out = members.join(info, "cls", "left")
     own = F.col("cls").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    ids = [F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "copy_of")]
+    return out.select("doc_id", *ids, F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "class_key", *carry)
+
+
+def first_of_each(docs: DataFrame, text: str = "text", width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
+    """Of each class of near copies one row of ``docs``, with all its columns.
+
+    It is that of the smallest id, of equal ids that of the smallest hash of the text, and of
+    repeated rows one.  Rows are told apart by id and text, so of rows that share an id
+    each goes or stays by its own class.  Null and empty texts all stay.
+    """
+    row = F.struct(F.xxhash64(text), F.length(text))
+    named = docs.withColumn("_row", row)
+    classes = keep(join(named, text, width, likeness, ("_row",)).select("class_key", "doc_id", "_row"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    least = classes.filter("class_key IS NOT NULL").groupBy("class_key").agg(F.min(order).alias("first"))
+    rows = classes.groupBy("class_key", "doc_id", "_row").agg(F.count(F.lit(1)).alias("n"))
+    chosen = keep(rows.join(least, "class_key").filter(F.col("first") == order).select("doc_id", "_row", "n"), "chosen")
+    wordless = rows.filter("class_key IS NULL").select("doc_id", "_row", F.lit(1).cast("long").alias("n"))
+    both = chosen.unionByName(wordless).withColumnsRenamed({"doc_id": "_id", "_row": "_key"})
+
+    def of(which: str) -> DataFrame:
+        found = both.filter(which).select("_id", "_key")
+        return named.join(found, named["doc_id"].cast("long").eqNullSafe(F.col("_id")) & named["_row"].eqNullSafe(F.col("_key")), "left_semi")
+
+    return of("n = 1").unionByName(of("n > 1").dropDuplicates(["doc_id", "_row"])).select(*docs.columns)

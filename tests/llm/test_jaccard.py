@@ -72,15 +72,36 @@ def test_large_buckets_are_split_and_tiled(spark, monkeypatch):
     rows = corpus(random.Random(9), 60, 90)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     split, tiled = jaccard._buckets, jaccard._tiles
-    monkeypatch.setattr(jaccard, "_buckets", lambda classes: split(classes, 12))
+    levels = []
+    monkeypatch.setattr(jaccard, "_buckets", lambda classes, docs, width: split(classes, docs, width, 12))
+    deeper = jaccard._next_paths
+    monkeypatch.setattr(jaccard, "_next_paths", lambda *a: levels.append(1) or deeper(*a))
     monkeypatch.setattr(jaccard, "_tiles", lambda leaves, classes: tiled(leaves, classes, 12))
     got, want = result(jaccard.join(docs)), brute(rows)
     assert sum(r[3] for r in got) >= 0.99 * sum(r[3] for r in want)
     assert sum(a[:3] != b[:3] for a, b in zip(got, want)) <= 2
+    assert levels  # some buckets took three tokens and more
     made = jaccard.pairs(docs).collect()
     assert len({(r.a, r.b) for r in made}) == len(made)
 
 
+def test_recall_on_documents(spark):
+    """Pairs of likeness 0.8 and more that are found, of all that there are on the smallest tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got, want = result(jaccard.join(docs)), brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sum(r[3] for r in got) >= jaccard.RECALL * sum(r[3] for r in want) > 0
+    assert jaccard.runs_for(0.99) < jaccard.RUNS < jaccard.runs_for(0.9999)
+
+
+def test_first_of_each(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    near = long.replace("w5 ", "x ")
+    rows = [(7, "quite another text that stays", "a"), (1, long, "b"), (7, near, "c"), (9, long, "d"), (1, long, "b"), (None, long, "e"), (None, "alone without an id in here", "f"), (4, None, "g"), (4, "", "h"), (4, "", "h"), (8, "two texts of one id are two rows", "i"), (8, "and so this one stays here as well", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    assert sorted(r.n for r in jaccard.first_of_each(docs).collect()) == ["a", "b", "f", "g", "h", "h", "i", "j"]
+    assert jaccard.first_of_each(docs.limit(0)).columns == docs.columns
+
+
 def test_empty_and_alone(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert result(jaccard.join(docs)) == [(1, 1, 1, 0)]
