@@ -233,13 +233,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back, which cuts its lineage."""
+def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` in the shared folder, in folders ``by`` columns, and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     _MADE.append((spark, path))
     with configured(spark, CLEAN):
-        df.write.options(**SMALL_PAGES).parquet(path)
+        df.write.options(**SMALL_PAGES).parquet(path, partitionBy=list(by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out

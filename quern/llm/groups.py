@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import arrow_rows, mix, release, slices
 
 GROUP_BYTES = 4 << 20
-RANGE_KEYS = 1 << 19
+RANGE_KEYS = 1 << 21
 #: At most so many binary digits of ranges, as each group sends a row to each range.
 RANGE_BITS = 13
 
@@ -49,20 +49,15 @@ def dealt(ids: np.ndarray, size: np.ndarray, groups: int) -> np.ndarray:
         return (mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def pack(docs: DataFrame, groups: int, text: str = "text", bounds: list[int] = [], only: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, groups: int, text: str = "text", bounds: list[int] = []) -> DataFrame:
     """Rows (``grp``, ``blob``): documents dealt by id and length, in compressed Arrow streams.
 
     With ``bounds``, ids from one bound to the next are a batch, which has groups of its own
-    (batch times ``groups`` and on); ``only`` gives one batch.
+    (batch times ``groups`` and on); an id that is null is in the last one.
     """
     arrow_rows(docs.sparkSession)
     schema = docs.schema
     at = schema.fieldNames().index("doc_id")
-    if only is not None and bounds:
-        low, high = [None, *bounds][only], [*bounds, None][only]
-        here = F.lit(True) if low is None else F.col("doc_id") >= low
-        here = here & (F.lit(True) if high is None else F.col("doc_id") < high)
-        docs = docs.filter(here | F.col("doc_id").isNull() if high is None else here)
     edges = np.array(bounds, dtype=np.int64)
 
     def blobs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

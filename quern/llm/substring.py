@@ -91,12 +91,14 @@ def _decoded(data: bytes, n: int, check: int) -> Run:
 _NONE: Run = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
 
 
-def _compacted(runs: list[Run]) -> Run:
-    """One sorted run with the smallest doc_id of each (hash, check)."""
+def _compacted(runs: list[Run]) -> tuple[Run, np.ndarray]:
+    """One sorted run with the smallest doc_id of each (hash, check), and where each entry of the runs went."""
     key, least, check = (np.concatenate(x) for x in zip(_NONE, *runs))
     order, new = _order(key, check)
     first = np.flatnonzero(new)
-    return key[order][first], np.minimum.reduceat(least[order], first) if len(first) else least, check[order][first]
+    where = np.empty(len(order), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return (key[order[first]], np.minimum.reduceat(least[order], first) if len(first) else least, check[order[first]]), where
 
 
 def _looked_up(run: Run, asked: Run) -> np.ndarray:
@@ -139,16 +141,19 @@ def _joined(history: DataFrame, entries: DataFrame, check: int) -> DataFrame:
         made: list[tuple] = []
         if rows.num_rows:
             bucket = rows.column("bucket")[0].as_py()
-            before = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(old.column("run"), old.column("n").to_pylist())])
             asked = [_decoded(d.as_py(), n, check) for d, n in zip(rows.column("data"), rows.column("n").to_pylist())]
-            batch = _compacted(asked)
-            all_of_it = _compacted([before, batch])
+            batch, where = _compacted(asked)
+            before = np.full(len(batch[0]), np.iinfo(np.int64).max)
+            for d, n in zip(old.column("run"), old.column("n").to_pylist()):
+                before = np.minimum(before, _looked_up(_decoded(d.as_py(), n, check), batch))
+            least, at = np.minimum(before, batch[1]), 0
             for one, grp in zip(asked, rows.column("grp").to_pylist()):
-                source = _looked_up(all_of_it, one)
+                source = least[where[at : at + len(one[0])]]
+                at += len(one[0])
                 hit = source < one[1]
                 said = source[hit]
                 made.append((bucket, grp, len(hit), len(said), np.packbits(hit).tobytes(), groups.code(np.zeros(len(said), dtype=np.uint64), said), None))
-            more = batch[1] < _looked_up(before, batch)
+            more = batch[1] < before
             made.append((bucket, -1, int(more.sum()), 0, None, None, _coded(tuple(x[more] for x in batch), check)))
         return _stored(made)
 
@@ -294,22 +299,23 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
     size = groups.text_bytes(docs)
     bounds = groups.batch_bounds(docs, batches)
     per_batch = groups.group_count(-(-size // (len(bounds) + 1)))
-    packed = lambda only=None: groups.pack(docs, per_batch, bounds=bounds, only=only)
+    packed = keep(groups.pack(docs, per_batch, bounds=bounds).withColumn("batch", F.floor(F.col("grp") / per_batch).cast("int")), "packed", "batch")
     for check in (index.check,) if index is not None else (check_bytes(size // 6), 8):
         own = index or SubstringIndex(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}", groups.range_bits(size // 6), check)
         known = own.runs() > 0
         parts = []
         for k in range(len(bounds) + 1):
-            answers = own.add(_entries(packed(k), own.bits, width, check))
-            parts.append(keep(_found(packed(k), answers, width, check), "found"))
+            batch = packed.filter(f"batch = {k}").select("grp", "blob")
+            answers = own.add(_entries(batch, own.bits, width, check))
+            parts.append(keep(_found(batch, answers, width, check), "found"))
             own.compact()
         if index is None:
             own.remove()
         found = parts[0]
         for part in parts[1:]:
             found = found.unionByName(part)
-        if known or not _unverified(packed(), found, width).limit(1).count():
-            return _applied(packed(), found, docs, width)
+        if known or not _unverified(packed.select("grp", "blob"), found, width).limit(1).count():
+            return _applied(packed.select("grp", "blob"), found, docs, width)
         drop(*parts)
     raise RuntimeError("documents have passages of different words with equal hashes of 128 bits")
 
@@ -374,7 +380,7 @@ class SubstringIndex:
         check = self.check
 
         def merged(rows: pa.Table) -> pa.Table:
-            run = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(rows.column("run"), rows.column("n").to_pylist())])
+            run, _ = _compacted([_decoded(d.as_py(), n, check) for d, n in zip(rows.column("run"), rows.column("n").to_pylist())])
             return _stored([(rows.column("bucket")[0].as_py(), -1, len(run[0]), 0, None, None, _coded(run, check))])
 
         old, last = self.generation, self._latest()
