@@ -50,6 +50,8 @@ RUNS = runs_for(RECALL)
 #: Sets that a bucket may have before it is split, tokens of a path at most, and sets that are compared with each other at once.
 SMALL, DEPTH, TILE = 2048, 8, 1024
 BITS = 512
+#: Rows of an id and a digest (24 bytes) that are sent to all executors at most.
+BROADCAST_ROWS = 1 << 20
 #: Standard deviations by which a sketch may underrate a pair that is compared in full.
 SLACK = 5.0
 
@@ -272,7 +274,9 @@ def _with_sets(members: DataFrame, classes: DataFrame, docs: DataFrame, width: i
     """
     wanted = members.join(classes.select("cls", "rep"), "cls")
     source = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text"))
-    texts = source.join(wanted.select("rep", "cls").distinct(), "rep").unionByName(source.filter("rep IS NULL").withColumn("cls", F.lit(None).cast("binary")))
+    ids = keep(wanted.select("rep", "cls").distinct(), "wanted")
+    few = ids.count() <= BROADCAST_ROWS  # else both sides are shuffled, texts too
+    texts = source.join(F.broadcast(ids) if few else ids, "rep").unionByName(source.filter("rep IS NULL").withColumn("cls", F.lit(None).cast("binary")))
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
