@@ -87,31 +87,39 @@ def phone_normalize() -> Normalizer:
 
 
 def _guarded(c: Column, cases: Iterable[tuple[str, Column]], on_failure: str, default: Any) -> Column:
-    """The first case whose pattern a text matches; what matches none is null, an error or the default."""
+    """The first case whose pattern a text matches; what gives none is null, an error or the default, which nulls become as well."""
     if on_failure not in ("null", "error", "default"):
         raise ValueError(f"on_failure must be null, error or default, not {on_failure!r}")
+    if (on_failure == "default") != (default is not None):
+        raise ValueError("a default goes with on_failure='default', and with that alone")
     out = None
     for pattern, value in cases:
         out = F.when(c.rlike(pattern), value) if out is None else out.when(c.rlike(pattern), value)
     if on_failure == "error":
-        return out.when(c.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("cannot parse "), c)))
-    return out.when(c.isNull(), None).otherwise(F.lit(default)) if on_failure == "default" else out.otherwise(None)
+        return F.when(c.isNull(), None).otherwise(F.coalesce(out, F.raise_error(F.concat(F.lit("cannot parse "), c))))
+    return F.coalesce(out, F.lit(default)) if on_failure == "default" else out
 
 
-def parse_timestamp(format: str | None = None, formats: Iterable[str] | None = None, on_failure: str = "null", default: Any = None) -> Normalizer:
-    """The first format whose shape fits; a text of that shape that is no date gives null."""
-    wanted = tuple(formats or ((format,) if format else TIMESTAMP_FORMATS))
+def _formats(format: str | None, formats: Iterable[str] | None, known: tuple[str, ...], on_failure: str) -> tuple[str, ...]:
+    if format is not None and formats is not None:
+        raise ValueError("give format or formats, not both")
+    wanted = (format,) if format is not None else tuple(formats) if formats is not None else known
     unknown = [f for f in wanted if f not in FORMATS]
-    if unknown:
-        raise ValueError(f"unknown formats: {unknown}")
+    if unknown or not wanted:
+        raise ValueError(f"unknown formats: {unknown}" if unknown else "formats is empty")
+    if on_failure == "error" and len(wanted) != 1:
+        raise ValueError("on_failure='error' requires a single format")
+    return wanted
+
+
+def parse_timestamp(format: str | None = None, formats: Iterable[str] | None = None, on_failure: str = "null", default: Any = None) -> Normalizer:
+    """The first format whose shape fits; a text of that shape that is no date counts as one that cannot be parsed."""
+    wanted = _formats(format, formats, TIMESTAMP_FORMATS, on_failure)
     return lambda c: _guarded(c, [(FORMATS[f][0], F.try_to_timestamp(c, F.lit(FORMATS[f][1]))) for f in wanted], on_failure, default)
 
 
 def parse_date(format: str | None = None, formats: Iterable[str] | None = None, on_failure: str = "null", default: Any = None) -> Normalizer:
-    wanted = tuple(formats or ((format,) if format else DATE_FORMATS))
-    unknown = [f for f in wanted if f not in FORMATS]
-    if unknown:
-        raise ValueError(f"unknown formats: {unknown}")
+    wanted = _formats(format, formats, DATE_FORMATS, on_failure)
     return lambda c: _guarded(c, [(FORMATS[f][0], F.try_to_timestamp(c, F.lit(FORMATS[f][1])).cast("date")) for f in wanted], on_failure, default)
 
 
@@ -140,7 +148,7 @@ def clamp(low: Any, high: Any) -> Normalizer:
     return lambda c: F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def parse_bool(truthy: Iterable[str] = ("true", "t", "yes", "y", "1"), falsy: Iterable[str] = ("false", "f", "no", "n", "0")) -> Normalizer:
+def parse_bool(truthy: Iterable[str] = ("true", "1", "yes", "y"), falsy: Iterable[str] = ("false", "0", "no", "n")) -> Normalizer:
     return lambda c: F.when(F.lower(c).isin(*[x.lower() for x in truthy]), True).when(F.lower(c).isin(*[x.lower() for x in falsy]), False)
 
 

@@ -90,3 +90,27 @@ def udaf(args: Sequence[str], returns: str, name: str | None = None) -> Callable
         return aggregate
 
     return make
+
+
+CALLBACKS: dict[str, Callable[..., Any]] = {}
+
+
+def register_callback(name: str, fn: Callable[..., Any]) -> Callable[..., Any]:
+    """Know a function by name; a later one of the same name takes its place."""
+    if not callable(fn):
+        raise TypeError(f"{name} is not callable")
+    CALLBACKS[name] = fn
+    return fn
+
+
+def call_back(name: str, *args: Any, **more: Any) -> Any:
+    if name not in CALLBACKS:
+        raise KeyError(f"no callback named {name!r}")
+    return CALLBACKS[name](*args, **more)
+
+
+def aggregate_batch(cls: type, *series: pd.Series) -> Any:
+    """What a class for ``udaf`` says of one batch."""
+    made = cls()
+    made.update_batch(*series)
+    return made.evaluate()

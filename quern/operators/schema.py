@@ -163,11 +163,17 @@ def ensure(spark: SparkSession, spec: TableSpec, on_drift: str = "error") -> Dri
     return drift
 
 
-def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """The declared columns in their order, cast to their types; raises if one is missing."""
+def complete(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """The frame as it is; raises if a declared column is missing."""
     missing = [c.name for c in spec.columns if c.name not in df.columns]
     if missing:
         raise SchemaDrift(f"{spec.name}: columns missing: {missing}")
+    return df
+
+
+def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """The declared columns in their order, cast to their types; raises if one is missing."""
+    complete(df, spec)
     return df.select(*[df[c.name].cast(c.type.spark).alias(c.name) for c in spec.columns])
 
 

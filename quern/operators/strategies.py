@@ -64,9 +64,11 @@ def truncate(target: DataFrame | None, source: DataFrame) -> DataFrame:
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], delete_missing: bool = False) -> Merged:
     """Insert new keys, update rows that differ in any other column (null-safe), keep the rest.
 
+    Two source rows of one key raise ``DuplicateKeys``; keys alone are looked at for that.
     With ``delete_missing`` rows whose keys the source lacks go, unless a source key is
     null: then, as with NOT IN, nothing is known to be missing and nothing goes.
     """
+    unique_keys(source.dropna(subset=list(keys)), keys)  # a null key matches nothing, so it repeats none
     values = [c for c in target.columns if c not in keys]
     t = target.select(*target.columns, F.lit(True).alias("_t")).alias("t")
     s = source.select(*target.columns, F.lit(True).alias("_s")).alias("s")

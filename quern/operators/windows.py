@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("tumbling", "hopping", "session")
 LATE = ("drop", "reopen", "dlq")
@@ -24,26 +26,36 @@ class Aggregate:
     def alias(self) -> str:
         return self.name or (f"{self.kind}_{self.column}" if self.column else self.kind)
 
-    def expression(self, ts: str, streaming: bool = False) -> Column:
+    def expression(self, ts: str, streaming: bool = False, whole: bool = False, most: int | None = None) -> Column:
+        """The aggregate; ``whole`` numbers are summed as decimals, and ``most`` distinct values are allowed in a stream's state."""
         c = F.col(self.column) if self.column else None
         if self.kind != "count" and c is None:
             raise ValueError(f"{self.kind} needs a column")
         when = F.when(c.isNotNull(), F.col(ts)) if c is not None else None
         made = {
             "count": lambda: F.count(c if c is not None else F.lit(1)),
-            "sum": lambda: F.sum(c),
+            "sum": lambda: F.sum(c.cast("decimal(28,0)") if whole else c),
             "min": lambda: F.min(c),
             "max": lambda: F.max(c),
             "avg": lambda: F.avg(c),
             "first": lambda: F.min_by(c, when),
             "last": lambda: F.max_by(c, when),
-            "count_distinct": lambda: F.approx_count_distinct(c, 0.0081) if not self.exact else F.size(F.collect_set(c)).cast("long") if streaming else F.count_distinct(c),
+            "count_distinct": lambda: F.approx_count_distinct(c, 0.0081) if not self.exact else _at_most(F.size(F.collect_set(c)), most, self.column).cast("long") if streaming else F.count_distinct(c),
         }
         if self.kind not in made:
             raise ValueError(f"unknown aggregate {self.kind!r}")
         return made[self.kind]().alias(self.alias)
 
 
+def _at_most(size: Column, most: int | None, name: str) -> Column:
+    return size if most is None else F.when(size > most, F.raise_error(F.lit(f"more than {most} distinct values of {name}"))).otherwise(size)
+
+
+def whole_numbers(df: DataFrame) -> set[str]:
+    """Columns of whole numbers, whose sums may pass 64 bits."""
+    return {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+
+
 @dataclass(frozen=True)
 class WindowConfig:
     """A windowed aggregation; times are in milliseconds."""
@@ -85,12 +97,24 @@ class WindowConfig:
         return F.window(ts, ms(self.duration_ms), ms(self.hop_ms)) if self.kind == "hopping" else F.window(ts, ms(self.duration_ms))
 
 
+#: State of a window beyond which a warning is given.
+STATE_WARNING_BYTES = 1 << 30
+
+
 def state_bytes(config: WindowConfig) -> int:
     """Estimate of the state that a window's groups may take at their cap."""
     each = 96 + 24 * len(config.aggregates) + sum(16 + len(c) for c in config.group_by) + (64 if config.kind == "session" else 0)
     return config.max_groups_per_window * each
 
 
+def warn_of_state(config: WindowConfig, most: int = STATE_WARNING_BYTES) -> bool:
+    """Warn if a window's state may pass a bound at its cap of groups; whether it may."""
+    size = state_bytes(config)
+    if size > most:
+        warnings.warn(f"the state of a window may take {size >> 20} MB at {config.max_groups_per_window} groups", ResourceWarning, stacklevel=2)
+    return size > most
+
+
 def windowed(df: DataFrame, config: WindowConfig) -> DataFrame:
     """Aggregate a finished table by event-time windows.
 
@@ -103,7 +127,8 @@ def windowed(df: DataFrame, config: WindowConfig) -> DataFrame:
     start, end = config.names
     if config.kind == "session":
         return sessions(df, config)
-    out = df.groupBy(*config.group_by, config.window().alias("_w")).agg(*[a.expression(ts) for a in config.aggregates])
+    whole = whole_numbers(df)
+    out = df.groupBy(*config.group_by, config.window().alias("_w")).agg(*[a.expression(ts, whole=a.column in whole) for a in config.aggregates])
     return out.select(*config.group_by, F.col("_w.start").alias(start), F.col("_w.end").alias(end), *[a.alias for a in config.aggregates])
 
 
@@ -133,6 +158,11 @@ def sessions(df: DataFrame, config: WindowConfig) -> DataFrame:
     cuts = times.select(*keys, "_session", starts.alias("_starts"))
     joined = marked.alias("m").join(cuts.alias("l"), same, "left").select("m.*", "l._starts")
     part = F.coalesce(F.array_max(F.filter(F.col("_starts"), lambda s: s <= F.col("_us"))), F.lit(0))
-    out = joined.withColumn("_part", part).groupBy(*keys, "_session", "_part").agg(F.min(ts).alias(start), F.max(ts).alias(end), *[a.expression(ts) for a in config.aggregates])
-    identity = F.xxhash64(*keys, F.unix_micros(F.col(start).cast("timestamp"))).alias("session_id")
-    return out.select(*keys, start, end, identity, *[a.alias for a in config.aggregates])
+    whole = whole_numbers(df)
+    out = joined.withColumn("_part", part).groupBy(*keys, "_session", "_part").agg(F.min(ts).alias(start), F.max(ts).alias(end), *[a.expression(ts, whole=a.column in whole) for a in config.aggregates])
+    return out.select(*keys, start, end, session_id(keys, start), *[a.alias for a in config.aggregates])
+
+
+def session_id(keys: list[str], start: str) -> Column:
+    """A hash of a session's key and start."""
+    return F.xxhash64(*keys, F.unix_micros(F.col(start).cast("timestamp"))).alias("session_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from quern.functions import normalize as nz
 from quern.functions.dialect import row_hash, translate
 from quern.functions.udf import udaf, udf
-from quern.operators import analytics, features, quality, schema, strategies, windows
-from quern.sources import shared
+from quern.operators import analytics, features, loads, quality, schema, strategies, windows
+from quern.sources import connections, files, shared
 from quern.sources.snapshot import Snapshot
 from quern.streaming import cdc, dlq, events, pipeline
 
@@ -66,7 +67,7 @@ def norm_regex(spark, sf_dir):
 def norm_parse(spark, sf_dir):
     df = read(spark, sf_dir, "events")
     bad = F.col("event_id") % 3 == 0
-    df = df.select("event_id", F.when(bad, "x1").otherwise(F.col("event_id").cast("string")).alias("i"), F.when(bad, "1.2.3").otherwise(F.format_string("%.2f", "value")).alias("d"), F.when(bad, "maybe").when(F.col("event_id") % 3 == 1, "Yes").otherwise("F").alias("b"), F.col("value").alias("c"))
+    df = df.select("event_id", F.when(bad, "x1").otherwise(F.col("event_id").cast("string")).alias("i"), F.when(bad, "1.2.3").otherwise(F.format_string("%.2f", "value")).alias("d"), F.when(bad, "maybe").when(F.col("event_id") % 3 == 1, "Yes").otherwise("No").alias("b"), F.col("value").alias("c"))
     out = nz.normalize(df, {"i": [nz.parse_int()], "d": [nz.parse_numeric(12, 2, on_failure="default", default=-1)], "b": [nz.parse_bool()], "c": [nz.clamp(20.0, 60.0)]})
     return out.withColumn("d", F.col("d").cast("double"))
 
@@ -98,6 +99,15 @@ def sql_dialect(spark, sf_dir):
     return spark.sql(translate('SELECT user_id, arg_max(value, ts) AS v, CAST(count(*) AS BIGINT) AS "n" FROM events GROUP BY user_id', "duckdb"))
 
 
+@query("SELECT n_nationkey, CASE WHEN n_name LIKE '%1' THEN 1 ELSE 7 END AS a, CASE WHEN n_nationkey % 3 = 1 THEN 'true' WHEN n_nationkey % 3 = 2 THEN 'false' ELSE 'unknown' END AS b FROM nation")
+def norm_default_and_bool(spark, sf_dir):
+    """Nulls and texts that are no numbers get the default; ``t`` is neither true nor false."""
+    n = read(spark, sf_dir, "nation")
+    number = F.when(F.col("n_name").endswith("1"), "1").when(F.col("n_nationkey") % 2 == 0, "x")
+    flag = F.when(F.col("n_nationkey") % 3 == 1, "YES").when(F.col("n_nationkey") % 3 == 2, "0").otherwise("t")
+    return nz.normalize(n.select("n_nationkey", number.alias("a"), flag.alias("b")), {"a": [nz.parse_int(on_failure="default", default=7)], "b": [nz.parse_bool(), lambda c: c.cast("string"), nz.default("unknown")]})
+
+
 # load strategies
 
 
@@ -119,7 +129,7 @@ def load_truncate(spark, sf_dir):
 @query(f"WITH {_SOURCE} SELECT * FROM s UNION ALL SELECT * FROM t WHERE c_custkey NOT IN (SELECT c_custkey FROM s)")
 def load_merge(spark, sf_dir):
     target, source = customers(spark, sf_dir)
-    return strategies.merge(target, strategies.unique_keys(source, ["c_custkey"]), ["c_custkey"]).table
+    return strategies.merge(target, source, ["c_custkey"]).table
 
 
 @query(f"WITH {_SOURCE} SELECT CAST(count(*) FILTER (WHERE t.c_custkey IS NULL) AS BIGINT) AS inserted, CAST(count(*) FILTER (WHERE t.c_custkey IS NOT NULL AND s.c_acctbal <> t.c_acctbal) AS BIGINT) AS updated FROM s LEFT JOIN t ON s.c_custkey = t.c_custkey")
@@ -191,9 +201,109 @@ def load_watermark(spark, sf_dir):
     return strategies.since(read(spark, sf_dir, "events").select("event_id", "ts"), "ts", datetime(2024, 1, 20, 12))
 
 
+@query(f"WITH {_SOURCE} SELECT TRUE AS raised, CAST(count(*) AS BIGINT) AS n FROM t")
+def load_merge_duplicate(spark, sf_dir):
+    """A source with two rows of one key raises, and the target stays as it was."""
+    target, source = customers(spark, sf_dir)
+    table = Snapshot(spark, shared.folder(spark, "duplicate"))
+    table.write(target)
+    try:
+        loads.sync("duplicate", table, source.unionByName(source.limit(1)), "merge", ["c_custkey"])
+        raised = False
+    except strategies.DuplicateKeys:
+        raised = True
+    return table.read().agg(F.lit(raised).alias("raised"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_SOURCE} SELECT c_custkey % 10 AS k, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_custkey FROM s UNION SELECT c_custkey FROM t) GROUP BY 1")
+def load_post_transform(spark, sf_dir):
+    """A merge, then SQL and a function that use what it made."""
+    target, source = customers(spark, sf_dir)
+    table = Snapshot(spark, shared.folder(spark, "transformed"))
+    table.write(target)
+
+    def publish(spark, parent):
+        table.read().createOrReplaceTempView("merged")
+        return {"rows": parent["rows"]}
+
+    summary = "CREATE OR REPLACE TEMPORARY VIEW summary AS SELECT c_custkey % 10 AS k, count(*) AS n FROM merged GROUP BY 1"
+    run = loads.sync("customers", table, source, "merge", ["c_custkey"], transforms=[publish, summary])
+    if [s.status for s in run.steps] != ["success", "success"] or run.steps[0].metrics["rows"] != run.rows:
+        raise ValueError(f"steps: {run.steps}")
+    return spark.table("summary")
+
+
+@query(f"WITH {_SOURCE} SELECT c_custkey, c_name, c_acctbal FROM s UNION ALL SELECT * FROM t WHERE c_custkey NOT IN (SELECT c_custkey FROM s)")
+def load_online(spark, sf_dir):
+    """The current versions of a history, in a table of their own after the second load."""
+    target, source = customers(spark, sf_dir)
+    table, online = Snapshot(spark, shared.folder(spark, "history")), Snapshot(spark, shared.folder(spark, "online"))
+    for rows, now in ((target, T0), (source, T1)):
+        loads.sync("history", table, rows, "scd2", ["c_custkey"], now=now, online=online)
+    return online.read()
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events) GROUP BY event_type UNION ALL SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY event_type")
+def load_warehouse_sync(spark, sf_dir):
+    """Two syncs with SQL in between; the second reads what is after the first one's watermark."""
+    e = read(spark, sf_dir, "events").select("event_id", "event_type")
+    half = e.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    table, store = Snapshot(spark, shared.folder(spark, "synced")), loads.Watermarks(Snapshot(spark, shared.folder(spark, "marks")))
+    for rows in (e.filter(F.col("event_id") <= half), e):
+        rows.createOrReplaceTempView("warehouse_events")
+        loads.warehouse_sync("events", lambda sql: spark.sql(sql.replace('"', "`")), "SELECT * FROM warehouse_events;", lambda df: loads.write_df(df, table), "SELECT event_type, count(*) AS n FROM source GROUP BY event_type", "event_id", store)
+    return table.read()
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def load_inferred(spark, sf_dir):
+    """A DataFrame written without a declared table: its own columns, and no others."""
+    table = Snapshot(spark, shared.folder(spark, "inferred"))
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    loads.write_df(rows.filter("s_suppkey % 2 = 0"), table)
+    loads.write_df(rows.filter("s_suppkey % 2 = 1"), table)
+    return table.read()
+
+
+@query("SELECT s_suppkey, upper(s_name) AS s_name FROM supplier")
+def load_managed(spark, sf_dir):
+    """A DataFrame merged into a declared table: normalized, cast and ordered as declared."""
+    spec = schema.TableSpec("public", "suppliers", (schema.ColumnSpec("s_suppkey", schema.ColumnType("big_int"), False, True), schema.ColumnSpec("s_name", schema.ColumnType("text"), True, False, (nz.upper(),))))
+    table = Snapshot(spark, shared.folder(spark, "managed"))
+    rows = read(spark, sf_dir, "supplier").select("s_name", "s_acctbal", F.col("s_suppkey").cast("string").alias("s_suppkey"))
+    for part in (rows.filter("s_suppkey % 3 <> 0").withColumn("s_name", F.lit("old")), rows):
+        loads.write_df(part, table, schema.ManagedTable(spec), "merge")
+    return table.read()
+
+
+@query("SELECT n_nationkey, n_name || '!' AS n_name FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5")
+def source_jdbc(spark, sf_dir):
+    """Rows appended and merged into a database over JDBC, and read back by a query of two partitions."""
+    import uuid
+
+    base = connections.Connection("jdbc", {"url": f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true"})
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    db = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(base.jdbc_url)
+    db.createStatement().executeUpdate('CREATE TABLE nations ("n_nationkey" BIGINT PRIMARY KEY, "n_name" VARCHAR(100))')
+    loads.write_spark_df(nation.filter("n_nationkey < 10"), base, "nations", "append")
+    changed = nation.filter("n_nationkey >= 5").withColumn("n_name", F.concat("n_name", F.lit("!")))
+    loads.write_spark_df(changed, base, "nations", "merge", ["n_nationkey"])
+    return files.query(spark, base.jdbc_url, "SELECT * FROM nations", partition=("n_nationkey", 0, 25, 2))
+
+
 # features
 
 
+@query("""WITH spine AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
+SELECT event_id, value FROM spine ASOF LEFT JOIN f ON spine.user_id = f.user_id AND spine.ts >= f.ts""")
+def join_asof(spark, sf_dir):
+    """One sort of both sides carries the newest earlier row along; no pair is formed."""
+    e = read(spark, sf_dir, "events")
+    spine = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("as_of"))
+    view = e.filter("event_type = 'view'").select("user_id", "value", F.col("ts").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    return features.historical_features(spine, view, ["user_id"], ["value"]).select("event_id", "value")
+
+
 @query("""WITH v AS (SELECT user_id, value, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events WHERE event_type = 'view'), s AS (SELECT event_id, user_id, ts AS as_of FROM events WHERE event_type = 'purchase')
 SELECT event_id, s.user_id, as_of, value FROM s LEFT JOIN v ON s.user_id = v.user_id AND valid_from <= as_of AND (valid_to IS NULL OR valid_to > as_of)""")
 def feat_historical(spark, sf_dir):
@@ -253,6 +363,85 @@ def _finished(spark: SparkSession, name: str, stream: DataFrame, **more) -> Data
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+def _in_files(spark: SparkSession, sf_dir: str, parts: list[str]) -> DataFrame:
+    """Events as a stream of one file a trigger: those of each condition, in this order."""
+    path, e = shared.folder(spark, "arriving"), read(spark, sf_dir, "events")
+    for part in parts:
+        e.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return files.stream(spark, path, e.schema, 1).withColumn("_event_ts", F.col("ts").cast("timestamp"))
+
+
+_EARLY, _MIDDLE = "ts < TIMESTAMP '2024-01-08 00:00:00'", "ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"
+_HELD = "event_id % 10 = 0"
+_PARTS = [f"{_EARLY} AND NOT {_HELD}", _MIDDLE, f"{_EARLY} AND {_HELD} OR ts >= TIMESTAMP '2024-01-20 00:00:00'"]
+_DAYS = dict(kind="tumbling", group_by=("event_type",), aggregates=(windows.Aggregate("count", name="n"), windows.Aggregate("sum", "user_id", "users")), duration_ms=86_400_000)
+_CLOSED = "HAVING time_bucket(INTERVAL '1 day', min(ts)) + INTERVAL '1 day' <= (SELECT max(ts) FROM events)"
+
+
+@query(f"SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS window_start, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events WHERE NOT ({_EARLY} AND {_HELD}) GROUP BY 1, 2 {_CLOSED}")
+def stream_late_drop(spark, sf_dir):
+    """A tenth of the first week's events comes two weeks late and is dropped."""
+    out = _finished(spark, "late_drop", _in_files(spark, sf_dir, _PARTS), window=windows.WindowConfig(**_DAYS))
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.col("users").cast("long").alias("users"))
+
+
+@query(f"SELECT event_id, event_type FROM events WHERE {_EARLY} AND {_HELD}")
+def stream_late_dlq(spark, sf_dir):
+    """The same late events as dead letters."""
+    letters = dlq.DeadLetters(Snapshot(spark, shared.folder(spark, "letters")))
+    path = shared.folder(spark, "late_dlq")
+    run = pipeline.StreamPipeline("late_dlq", _in_files(spark, sf_dir, _PARTS), [pipeline.parquet_target(f"{path}/out")], f"{path}/checkpoint", window=windows.WindowConfig(**_DAYS, late_data="dlq"), letters=letters)
+    run.run()
+    rows = letters.table().filter("stage = 'late_data'").select(F.from_json(F.col("payload").cast("string"), "event_id long, event_type string").alias("r"))
+    return rows.select("r.*")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS window_start, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1, 2")
+def stream_reopen(spark, sf_dir):
+    """With enough allowed lateness the late events correct their windows."""
+    path = shared.folder(spark, "reopen")
+    table = Snapshot(spark, f"{path}/table")
+    config = windows.WindowConfig(**_DAYS, late_data="reopen", allowed_lateness_ms=60 * 86_400_000)
+    pipeline.StreamPipeline("reopen", _in_files(spark, sf_dir, _PARTS), [pipeline.upsert_target(table, ["event_type", "window_start"])], f"{path}/checkpoint", window=config).run()
+    return table.read().select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.col("users").cast("long").alias("users"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, ts, value, i, ts AS s FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.ts, e.value, e.i, CASE WHEN e.ts - w.ts > INTERVAL '1 hour' OR e.ts - w.s >= INTERVAL '4 hours' THEN e.ts ELSE w.s END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1),
+f AS (SELECT user_id, s AS window_start, max(ts) AS window_end, CAST(count(*) AS BIGINT) AS n, max(value) AS top FROM w GROUP BY user_id, s)
+SELECT user_id, window_start, window_end, n, top FROM (SELECT *, lead(window_start) OVER (PARTITION BY user_id ORDER BY window_start) AS following FROM f)
+WHERE following IS NOT NULL OR window_end + INTERVAL '1 hour' < (SELECT max(ts) FROM events)""")
+def stream_session(spark, sf_dir):
+    """Capped sessions over three files in order of time; their ids are those of finished tables."""
+    parts = ["ts < TIMESTAMP '2024-01-10 12:00:00'", "ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'", "ts >= TIMESTAMP '2024-01-20 00:00:00'"]
+    config = dataclasses.replace(_SESSIONS, event_time_column="_event_ts")
+    out = _finished(spark, "session", _in_files(spark, sf_dir, parts), window=config)
+    whole = windows.windowed(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), _SESSIONS).select("session_id")
+    out = out.join(whole, "session_id", "left_semi")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")], "n", "top")
+
+
+@query("SELECT event_id, 'all' AS route FROM events UNION ALL SELECT event_id, 'clicks' FROM events WHERE event_type = 'click'")
+def stream_fanout(spark, sf_dir):
+    """Two targets get each of three batches."""
+    path = shared.folder(spark, "fanout")
+    clicks = pipeline.parquet_target(f"{path}/clicks")
+    targets = [pipeline.parquet_target(f"{path}/all"), lambda df, i: clicks(df.filter("event_type = 'click'"), i)]
+    pipeline.StreamPipeline("fanout", _in_files(spark, sf_dir, _PARTS), targets, f"{path}/checkpoint").run()
+    routes = [spark.read.parquet(f"{path}/{r}").select("event_id", F.lit(r).alias("route")) for r in ("all", "clicks")]
+    return routes[0].unionByName(routes[1])
+
+
+@query(f"SELECT event_id, 'kept' AS route FROM events WHERE NOT ({_MIDDLE}) UNION ALL SELECT event_id, 'transform' FROM events WHERE {_MIDDLE}")
+def stream_transform_dlq(spark, sf_dir):
+    """The SQL of one batch of three fails, and its rows become dead letters."""
+    letters = dlq.DeadLetters(Snapshot(spark, shared.folder(spark, "letters")))
+    sql = f"SELECT event_id, CASE WHEN {_MIDDLE} THEN raise_error('no such days') ELSE 'kept' END AS route FROM source"
+    good = _finished(spark, "transform_dlq", _in_files(spark, sf_dir, _PARTS), sql=sql, transform_on_error="dlq", letters=letters).select("event_id", "route")
+    return good.unionByName(letters.table().select(F.get_json_object(F.col("payload").cast("string"), "$.event_id").cast("long").alias("event_id"), F.col("stage").alias("route")))
+
+
 @query("""SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS window_start, CAST(count(*) AS BIGINT) AS n, arg_max(value, ts) AS last FROM events GROUP BY 1, 2
 HAVING time_bucket(INTERVAL '1 day', min(ts)) + INTERVAL '1 day' <= (SELECT max(ts) FROM events)""")
 def stream_tumbling(spark, sf_dir):
@@ -318,6 +507,41 @@ def cdc_soft_delete(spark, sf_dir):
     return cdc.live(cdc.apply(first, change, ["id"], soft)).withColumn("gone", F.col("gone").cast("timestamp_ntz"))
 
 
+@query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 10 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey % 5 <> 0")
+def cdc_maxwell(spark, sf_dir):
+    """Inserts, updates and deletes of another envelope, a delete's row being in its data."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    row, more = F.struct("id", "name", "balance"), F.struct("id", "name", (F.col("balance") + 10).alias("balance"))
+
+    def envelope(kind: str, ts: int, data):
+        return F.to_json(F.struct(F.lit(kind).alias("type"), F.lit(ts).alias("ts"), data.alias("data")))
+
+    log = F.array(envelope("bootstrap-insert", 10, row), F.when(F.col("id") % 3 == 0, envelope("update", 20, more)), F.when(F.col("id") % 5 == 0, envelope("delete", 30, row)))
+    maxwell = cdc.CDC("maxwell")
+    change = cdc.changes(c.select(F.explode(log).alias("value")).filter("value IS NOT NULL"), maxwell, "id long, name string, balance double", ["id"])
+    return cdc.live(cdc.apply(cdc.empty_target(change, ["id"], maxwell), change, ["id"], maxwell))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 10 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey % 5 <> 0")
+def cdc_idempotent(spark, sf_dir):
+    """A stream of four batches whose later two are the first two again, into a table."""
+    path, log = shared.folder(spark, "log"), _envelopes(spark, sf_dir)
+    for k in (0, 1, 0, 1):
+        log.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(path)
+    table = Snapshot(spark, f"{path}-table")
+    pipeline.StreamPipeline("idempotent", files.stream(spark, path, log.schema, 1), [cdc.sink(table, _CDC, "id long, name string, balance double", ["id"])], f"{path}-checkpoint").run()
+    return cdc.live(table.read())
+
+
+@query("SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus, o_orderpriority")
+def dashboard_filter(spark, sf_dir):
+    """Filters around a guarded query: one on a column that it has, one on a column that it has not."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    text = analytics.guard_readonly("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority;")
+    analytics.guard_plan(spark, text)
+    return analytics.filtered(spark.sql(text), {"o_orderstatus": ["F", "O"], "no_such_column": [1]})
+
+
 @query("SELECT event_id, 'kept' AS route FROM events WHERE value >= 20 UNION ALL SELECT event_id, 'late_data' FROM events WHERE value < 20")
 def dlq_split(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "value")

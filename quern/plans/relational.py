@@ -30,6 +30,8 @@ SELECT l_returnflag, l_linestatus, {dbl(f'sum({Q})')} AS sum_qty, {dbl(f'sum({P}
   {dbl(f'sum({REV} * (1 + {T}))')} AS sum_charge, {dbl(f'sum({Q})')} / count(*) AS avg_qty, {dbl(f'sum({P})')} / count(*) AS avg_price,
   {dbl(f'sum({D})')} / count(*) AS avg_disc, {big('count(*)')} AS count_order
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus"""
+#: Spark's text with money of 12 digits, so that a discounted price keeps 18 and stays a long.
+SQL["tpch_q01"] = (SQL["tpch_q01"].replace("DECIMAL(18,2)", "DECIMAL(12,2)"), SQL["tpch_q01"])
 SQL["tpch_q03"] = f"""
 SELECT l_orderkey, {dbl(f'sum({REV})')} AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-15 00:00:00'
@@ -39,20 +41,35 @@ SELECT o_orderpriority, {big('count(*)')} AS order_count FROM orders
 WHERE o_orderdate >= TIMESTAMP '1997-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-10-01 00:00:00'
   AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_returnflag = 'R')
 GROUP BY o_orderpriority ORDER BY o_orderpriority"""
-SQL["tpch_q05"] = f"""
+SQL["tpch_q05"] = (
+    f"""
+SELECT n_name, {dbl(f'sum({REV})')} AS revenue FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON c_custkey = o_custkey
+  JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = n_nationkey
+WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00' GROUP BY n_name ORDER BY revenue DESC""",
+    f"""
 SELECT n_name, {dbl(f'sum({REV})')} AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00' GROUP BY n_name ORDER BY revenue DESC"""
+WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00' GROUP BY n_name ORDER BY revenue DESC""",
+)
 SQL["tpch_q06"] = f"""
 SELECT {dbl(f'sum({P} * {D})')} AS revenue FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"""
-SQL["tpch_q07"] = f"""
+SQL["tpch_q07"] = (
+    f"""
+SELECT supp_nation, cust_nation, l_year, {dbl('sum(volume)')} AS revenue FROM (
+  SELECT s.n_name AS supp_nation, c.n_name AS cust_nation, {big('extract(year FROM l_shipdate)')} AS l_year, {REV} AS volume
+  FROM (SELECT s_suppkey, n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_1', 'NATION_2')) s JOIN lineitem ON s_suppkey = l_suppkey
+    JOIN (SELECT o_orderkey, n_name FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON c_custkey = o_custkey WHERE n_name IN ('NATION_1', 'NATION_2')) c ON o_orderkey = l_orderkey
+  WHERE s.n_name <> c.n_name) t
+GROUP BY supp_nation, cust_nation, l_year ORDER BY supp_nation, cust_nation, l_year""",
+    f"""
 SELECT supp_nation, cust_nation, l_year, {dbl('sum(volume)')} AS revenue FROM (
   SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, {big('extract(year FROM l_shipdate)')} AS l_year, {REV} AS volume
   FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
     JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
   WHERE ((n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1'))) s
-GROUP BY supp_nation, cust_nation, l_year ORDER BY supp_nation, cust_nation, l_year"""
+GROUP BY supp_nation, cust_nation, l_year ORDER BY supp_nation, cust_nation, l_year""",
+)
 SQL["tpch_q08"] = f"""
 SELECT o_year, {dbl("sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END)")} / {dbl('sum(volume)')} AS mkt_share FROM (
   SELECT {big('extract(year FROM o_orderdate)')} AS o_year, {REV} AS volume, n2.n_name AS nation
@@ -81,9 +98,15 @@ WITH revenue AS (SELECT l_suppkey AS supplier_no, sum({REV}) AS total_revenue FR
   WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-04-01 00:00:00' GROUP BY l_suppkey)
 SELECT s_suppkey, s_name, {dbl('total_revenue')} AS total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no
 WHERE total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey"""
-SQL["tpch_q17"] = f"""
+SQL["tpch_q17"] = (
+    f"""
+WITH l AS (SELECT l_partkey, l_quantity, l_extendedprice FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_brand = 'Brand#12'),
+m AS (SELECT l_partkey AS k, 0.2E0 * {dbl('sum(CAST(l_quantity AS DECIMAL(18,2)))')} / count(*) AS least FROM l GROUP BY l_partkey)
+SELECT {dbl(f'sum({P})')} / 7.0E0 AS avg_yearly FROM l JOIN m ON l_partkey = k WHERE l_quantity < least""",
+    f"""
 SELECT {dbl(f'sum({P})')} / 7.0E0 AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
-WHERE p_brand = 'Brand#12' AND l_quantity < (SELECT 0.2E0 * {dbl('sum(CAST(i.l_quantity AS DECIMAL(18,2)))')} / count(*) FROM lineitem i WHERE i.l_partkey = p_partkey)"""
+WHERE p_brand = 'Brand#12' AND l_quantity < (SELECT 0.2E0 * {dbl('sum(CAST(i.l_quantity AS DECIMAL(18,2)))')} / count(*) FROM lineitem i WHERE i.l_partkey = p_partkey)""",
+)
 SQL["tpch_q18"] = f"""
 SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, {dbl(f'sum({Q})')} AS qty FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200)
@@ -92,12 +115,20 @@ SQL["tpch_q19"] = f"""
 SELECT {dbl(f'sum({REV})')} AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE
   (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 5) OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 10)
   OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 15)"""
-SQL["tpch_q21"] = f"""
+SQL["tpch_q21"] = (
+    f"""
+WITH o AS (SELECT l_orderkey AS k, min(l_suppkey) AS a, max(l_suppkey) AS b, min(CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS ra, max(CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS rb FROM lineitem GROUP BY l_orderkey)
+SELECT s_name, {big('count(*)')} AS numwait FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON s_suppkey = l_suppkey
+  JOIN o ON k = l_orderkey JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderstatus = 'F' AND l_returnflag = 'R' AND n_name = 'NATION_5' AND a <> b AND ra = rb
+GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
+    f"""
 SELECT s_name, {big('count(*)')} AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey JOIN nation ON s_nationkey = n_nationkey
 WHERE o_orderstatus = 'F' AND l1.l_returnflag = 'R' AND n_name = 'NATION_5'
   AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
   AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
-GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100"""
+GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
+)
 SQL["tpch_q22"] = f"""
 SELECT code, {big('count(*)')} AS numcust, {dbl('sum(CAST(c_acctbal AS DECIMAL(18,2)))')} AS totacctbal FROM (
   SELECT substring(c_mktsegment, 1, 2) AS code, c_acctbal, c_custkey FROM customer
@@ -108,7 +139,7 @@ WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY cod
 SQL["join_inner"] = f"SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000"
 SQL["join_left"] = f"SELECT c_custkey, {big('count(o_orderkey)')} AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY c_custkey"
 SQL["join_full"] = """
-WITH a AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT o_custkey AS k, max(o_totalprice) AS top FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey)
+WITH a AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0), b AS (SELECT o_custkey AS k, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)
 SELECT coalesce(a.k, b.k) AS k, c_name, top FROM a FULL OUTER JOIN b ON a.k = b.k"""
 SQL["join_semi"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 SQL["join_anti"] = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"
@@ -121,15 +152,7 @@ SQL["join_self"] = f"""
 WITH m AS (SELECT user_id, {big("extract(day FROM ts)")} AS d, {big('count(*)')} AS n FROM events GROUP BY user_id, {big("extract(day FROM ts)")})
 SELECT a.user_id, a.d, a.n, b.n AS n_before FROM m a JOIN m b ON a.user_id = b.user_id AND a.d = b.d + 1"""
 SQL["join_lateral_topk"] = (
-    "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t WHERE c_custkey < 500"
-)
-SQL["join_asof"] = (
-    """
-WITH spine AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
-SELECT event_id, max_by(value, f.ts) AS value FROM spine LEFT JOIN f ON spine.user_id = f.user_id AND f.ts <= spine.ts GROUP BY event_id""",
-    """
-WITH spine AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
-SELECT event_id, value FROM spine ASOF LEFT JOIN f ON spine.user_id = f.user_id AND spine.ts >= f.ts""",
+    "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t"
 )
 SQL["join_lookup"] = f"SELECT event_id, event_type, w.weight FROM events JOIN (VALUES ('view', 1), ('click', 2), ('purchase', 5)) AS w(kind, weight) ON event_type = w.kind"
 SQL["join_stream_interval"] = """
@@ -216,12 +239,12 @@ SQL["fn_json"] = (
     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 )
 SQL["fn_array"] = (
-    "SELECT event_id, pos, x FROM events LATERAL VIEW posexplode(array(event_id, user_id, event_id + 1)) t AS pos, x WHERE event_id < 500",
-    "SELECT event_id, CAST(pos AS INTEGER) AS pos, x FROM (SELECT event_id, unnest([0, 1, 2]) AS pos, unnest([event_id, user_id, event_id + 1]) AS x FROM events WHERE event_id < 500)",
+    "SELECT event_id, pos, x FROM events LATERAL VIEW posexplode(array(event_id, user_id, event_id + 1)) t AS pos, x",
+    "SELECT event_id, CAST(pos AS INTEGER) AS pos, x FROM (SELECT event_id, unnest([0, 1, 2]) AS pos, unnest([event_id, user_id, event_id + 1]) AS x FROM events)",
 )
 SQL["fn_struct_explode"] = (
-    "SELECT user_id, s.kind, s.v FROM (SELECT user_id, explode(array(named_struct('kind', 'a', 'v', value), named_struct('kind', 'b', 'v', -value))) AS s FROM events WHERE event_id < 300)",
-    "SELECT user_id, s.kind AS kind, s.v AS v FROM (SELECT user_id, unnest([{'kind': 'a', 'v': value}, {'kind': 'b', 'v': -value}]) AS s FROM events WHERE event_id < 300)",
+    "SELECT user_id, s.kind, s.v FROM (SELECT user_id, explode(array(named_struct('kind', 'a', 'v', value), named_struct('kind', 'b', 'v', -value))) AS s FROM events)",
+    "SELECT user_id, s.kind AS kind, s.v AS v FROM (SELECT user_id, unnest([{'kind': 'a', 'v': value}, {'kind': 'b', 'v': -value}]) AS s FROM events)",
 )
 SQL["fn_timestamp_seconds"] = (
     "SELECT event_id, CAST(timestamp_seconds(event_id * 60) AS TIMESTAMP_NTZ) AS t FROM events",
@@ -242,4 +265,6 @@ SQL["evt_session"] = (
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
 SELECT user_id, min(ts) AS window_start, max(ts) AS window_end, {big('count(*)')} AS n FROM g GROUP BY user_id, s""",
 )
-SQL["dashboard_filter"] = f"SELECT * FROM (SELECT o_orderstatus, o_orderpriority, {big('count(*)')} AS n FROM orders GROUP BY o_orderstatus, o_orderpriority) q WHERE o_orderstatus IN ('F', 'O')"
+SQL["agg_grouping_id"] = f"SELECT l_returnflag, l_linestatus, {big('grouping_id(l_returnflag, l_linestatus)')} AS g, {big('count(*)')} AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"
+SQL["agg_avg"] = f"SELECT l_suppkey, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY l_suppkey"
+SQL["limit_any"] = f"SELECT {big('count(*)')} AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 100) t"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tomllib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,6 +20,7 @@ KINDS: dict[str, tuple[str, ...]] = {
     "snowflake": ("account", "database"),
     "bigquery": ("project",),
     "redshift": ("host", "database"),
+    "jdbc": ("url",),
     "kafka": ("bootstrap_servers",),
     "kinesis": ("stream", "region"),
     "pubsub": ("project", "subscription"),
@@ -57,6 +59,8 @@ class Connection:
             return f"jdbc:{scheme}://{o['host']}:{o.get('port', _PORTS[self.kind])}/{o['database']}"
         if self.kind in ("sqlite", "duckdb"):
             return f"jdbc:{self.kind}:{o['path']}"
+        if self.kind == "jdbc":
+            return o["url"]
         raise ValueError(f"{self.kind} is not reached over JDBC")
 
     def read(self, spark: SparkSession, sql: str | None = None) -> DataFrame:
@@ -74,6 +78,43 @@ class Connection:
         return files.query(spark, self.jdbc_url, sql, self.options.get("driver"), **login)
 
 
+@dataclass(frozen=True)
+class Source:
+    """A query of a connection, read when it is needed."""
+
+    connection: Connection
+    query: str
+
+    @staticmethod
+    def _of(kind: str, connection: Connection, query: str) -> Source:
+        if connection.kind != kind:
+            raise ValueError(f"expected a {kind} connection, not {connection.kind}")
+        return Source(connection, query)
+
+    @staticmethod
+    def postgres_query(connection: Connection, query: str) -> Source:
+        return Source._of("postgres", connection, query)
+
+    @staticmethod
+    def postgres_table(connection: Connection, schema: str, table: str, columns: Iterable[str] | None = None) -> Source:
+        return Source._of("postgres", connection, f"SELECT {', '.join(columns) if columns is not None else '*'} FROM {schema}.{table}")
+
+    @staticmethod
+    def snowflake_query(connection: Connection, query: str) -> Source:
+        return Source._of("snowflake", connection, query)
+
+    @staticmethod
+    def bigquery_query(connection: Connection, query: str) -> Source:
+        return Source._of("bigquery", connection, query)
+
+    @staticmethod
+    def redshift_query(connection: Connection, query: str) -> Source:
+        return Source._of("redshift", connection, query)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self.connection.read(spark, self.query)
+
+
 def redact(options: dict[str, Any]) -> dict[str, Any]:
     """Options with their secrets hidden, those inside URLs too."""
     hide = lambda v: re.sub(r"(://[^:/@]+):[^@]+@", r"\1:***@", v) if isinstance(v, str) else redact(v) if isinstance(v, dict) else v
@@ -120,4 +161,4 @@ def names() -> list[str]:
     return sorted(_REGISTRY)
 
 
-__all__ = ["Connection", "KINDS", "names", "redact", "register", "resolve"]
+__all__ = ["Connection", "KINDS", "Source", "names", "redact", "register", "resolve"]

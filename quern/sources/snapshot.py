@@ -1,4 +1,4 @@
-"""Versioned Parquet tables: a new snapshot is written beside the old, then a pointer moves.
+"""Versioned Parquet tables: a new snapshot is written beside the old, then a pointer to it is added.
 
 Readers see one whole version; a write that fails leaves the table as it was.
 """
@@ -10,9 +10,16 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+POINTERS = "_pointers"
+
 
 class Snapshot:
-    """A table under a folder that Spark's file systems reach (``_current`` names its version)."""
+    """A table under a folder that Spark's file systems reach.
+
+    The largest name in ``_pointers`` is its version.  Pointers are empty files that are made
+    once and never moved or overwritten, so at every moment there is one to read, and a crash
+    between two steps leaves the version before.
+    """
 
     def __init__(self, spark: SparkSession, path: str, partition_by: Sequence[str] = ()) -> None:
         self.spark, self.path, self.partition_by = spark, path.rstrip("/"), list(partition_by)
@@ -21,15 +28,12 @@ class Snapshot:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
+    def _pointers(self) -> list[str]:
+        fs, where = self._fs(f"{self.path}/{POINTERS}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
     def current(self) -> str | None:
-        fs, where = self._fs(f"{self.path}/_current")
-        if not fs.exists(where):
-            return None
-        stream = fs.open(where)
-        try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
+        return max(self._pointers(), default=None)
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -40,15 +44,8 @@ class Snapshot:
         number = 0 if old is None else int(old.split("-")[0][1:]) + 1
         version = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{version}")
-        fs, temporary = self._fs(f"{self.path}/_current.{uuid.uuid4().hex}")
-        out = fs.create(temporary, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, pointer = self._fs(f"{self.path}/_current")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        if not fs.rename(temporary, pointer):
-            raise OSError(f"could not move the pointer of {self.path}")
+        fs, pointer = self._fs(f"{self.path}/{POINTERS}/{version}")
+        fs.create(pointer, False).close()
         return version
 
     def update(self, change: Callable[[DataFrame | None], DataFrame]) -> str:
@@ -62,5 +59,6 @@ class Snapshot:
         current = self.current()
         old = [n for n in names[: max(0, len(names) - keep)] if n != current]
         for n in old:
-            fs.delete(self._fs(f"{self.path}/{n}")[1], True)
+            for path, deep in ((f"{POINTERS}/{n}", False), (n, True)):  # the pointer first, so that none is left without its version
+                fs.delete(self._fs(f"{self.path}/{path}")[1], deep)
         return old

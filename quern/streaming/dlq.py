@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.sources.snapshot import Snapshot
 
@@ -102,16 +103,19 @@ def split(batch: DataFrame, good: Column, error: str, pipeline: str, letters: De
 
 
 def guarded(transform: Callable[[DataFrame], DataFrame], on_error: str, pipeline: str, letters: DeadLetters | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A batch transform whose failure is raised, or drops or dead-letters the batch."""
+    """A batch transform whose failure is raised, or drops or dead-letters the batch; its result is cached until it is unpersisted."""
     if on_error not in ("fail", "drop", "dlq"):
         raise ValueError("on_error must be fail, drop or dlq")
 
     def run(batch: DataFrame) -> DataFrame:
+        out = None
         try:
             out = transform(batch).persist()
             out.count()
             return out
         except Exception as e:
+            if out is not None:
+                out.unpersist()
             if on_error == "fail":
                 raise
             if on_error == "dlq":
@@ -121,5 +125,28 @@ def guarded(transform: Callable[[DataFrame], DataFrame], on_error: str, pipeline
     return run
 
 
+class TopicLetters:
+    """Dead letters as messages of a broker's topic, one JSON document each; ``replay`` reads them back."""
+
+    def __init__(self, format: str, **options: str) -> None:
+        self.format, self.options = format, options
+
+    def append(self, rows: DataFrame) -> None:
+        text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if c == "payload" else F.col(c) for c in rows.columns if c != "offset_bytes"]))
+        rows.select(text.cast("binary").alias("value")).write.format(self.format).options(**self.options).mode("append").save()
+
+    def messages(self, source: DataFrame) -> DataFrame:
+        """Dead letters in the messages (``value``) of the topic, read as a table or as a stream."""
+        kinds = ", ".join(f"{f.name} {'string' if f.name == 'payload' else f.dataType.simpleString()}" for f in T._parse_datatype_string(SCHEMA) if f.name != "offset_bytes")
+        return source.select(F.from_json(F.col("value").cast("string"), kinds).alias("r")).select("r.*")
+
+    def replay(self, source: DataFrame, schema: str, pipeline: str | None = None, stage: str | None = None) -> DataFrame:
+        """The rows that the topic's dead letters were made of."""
+        found = self.messages(source)
+        for column, value in (("pipeline", pipeline), ("stage", stage)):
+            found = found if value is None else found.filter(F.col(column) == value)
+        return found.select(F.from_json("payload", schema).alias("r")).select("r.*")
+
+
 def new_id() -> str:
     return str(uuid.uuid4())

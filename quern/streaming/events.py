@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quern.operators.windows import WindowConfig
+from quern.operators.windows import WindowConfig, session_id, warn_of_state, whole_numbers
 
 
 def with_event_time(df: DataFrame, column: str | None, lateness_ms: int, name: str = "_event_ts") -> DataFrame:
@@ -35,17 +37,19 @@ def windowed_stream(df: DataFrame, config: WindowConfig) -> DataFrame:
     With ``reopen`` the watermark is later by the allowed lateness, and each late row
     gives its window again, for a sink that replaces by key.
     """
+    warn_of_state(config)
     ts = config.event_time_column
     delay = config.lateness_ms + (config.allowed_lateness_ms if config.late_data == "reopen" else 0)
     df = df.withWatermark(ts, f"{delay} milliseconds")
     if config.kind == "session":
         return capped_sessions(df, config)
-    out = df.groupBy(*config.group_by, config.window().alias("_w")).agg(*[a.expression(ts, True) for a in config.aggregates])
+    whole = whole_numbers(df)
+    out = df.groupBy(*config.group_by, config.window().alias("_w")).agg(*[a.expression(ts, True, a.column in whole, config.max_distinct_values_per_group) for a in config.aggregates])
     start, end = config.names
     return out.select(*config.group_by, F.col("_w.start").alias(start), F.col("_w.end").alias(end), *[a.alias for a in config.aggregates])
 
 
-def _finish(rows: pd.DataFrame, config: WindowConfig) -> list[Any]:
+def _finish(rows: pd.DataFrame, config: WindowConfig, whole: set[str]) -> list[Any]:
     out = []
     for a in config.aggregates:
         if a.kind == "count" and not a.column:
@@ -60,34 +64,38 @@ def _finish(rows: pd.DataFrame, config: WindowConfig) -> list[Any]:
             out.append(int(known.nunique()))
         elif known.empty:
             out.append(None)
+        elif a.kind == "sum" and a.column in whole:
+            out.append(Decimal(sum(int(x) for x in known)))
         else:
             out.append({"sum": known.sum, "min": known.min, "max": known.max, "avg": known.mean, "first": lambda k=known: k.iloc[0], "last": lambda k=known: k.iloc[-1]}[a.kind]())
     return out
 
 
 def capped_sessions(df: DataFrame, config: WindowConfig) -> DataFrame:
-    """Sessions of a stream, closed by the gap or the cap.
+    """Sessions of a stream, closed by the gap or the cap, with their ``session_id``.
 
-    State holds an open key's rows (event time and aggregated columns) until the
-    watermark passes the last event by the gap; rows below the watermark are dropped.
+    State holds an open key's rows (event time and aggregated columns, as an Arrow stream)
+    until the watermark passes the last event by the gap; rows below the watermark are
+    dropped.  With ``late_data="reopen"`` the watermark is later by the allowed lateness, and
+    each session that got rows is given again at once, merged with those it now touches, for
+    a sink that replaces by key and ``session_id``.
     """
-    ts, keys = config.event_time_column, list(config.group_by)
+    ts, keys, reopen = config.event_time_column, list(config.group_by), config.late_data == "reopen"
     start, end = config.names
     columns = list(dict.fromkeys([ts, *[a.column for a in config.aggregates if a.column]]))
-    kinds = {f.name: f.dataType for f in df.schema}
+    kinds, whole = {f.name: f.dataType for f in df.schema}, whole_numbers(df)
     results = {"count": T.LongType(), "count_distinct": T.LongType(), "avg": T.DoubleType()}
-    schema = T.StructType([*[T.StructField(k, kinds[k]) for k in keys], T.StructField(start, T.TimestampType()), T.StructField(end, T.TimestampType()), *[T.StructField(a.alias, results.get(a.kind) or kinds[a.column]) for a in config.aggregates]])
+    kind = lambda a: T.DecimalType(38, 0) if a.kind == "sum" and a.column in whole else results.get(a.kind) or kinds[a.column]
+    schema = T.StructType([*[T.StructField(k, kinds[k]) for k in keys], T.StructField(start, T.TimestampType()), T.StructField(end, T.TimestampType()), *[T.StructField(a.alias, kind(a)) for a in config.aggregates]])
     state = T.StructType([T.StructField("rows", T.BinaryType())])
     gap, cap = pd.Timedelta(milliseconds=config.gap_ms), pd.Timedelta(milliseconds=config.max_session_duration_ms)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        import io
-
-        rows = [pd.read_pickle(io.BytesIO(held.get[0]), compression=None)] if held.exists else []
+        rows = [pa.ipc.open_stream(held.get[0]).read_pandas().assign(_new=False)] if held.exists else []
         for batch in batches:
             late = held.getCurrentWatermarkMs()
-            rows.append(batch[columns][batch[ts] >= pd.Timestamp(late, unit="ms")] if late else batch[columns])
-        every = pd.concat(rows).sort_values(ts, kind="stable") if rows else pd.DataFrame(columns=columns)
+            rows.append((batch[columns][batch[ts] >= pd.Timestamp(late, unit="ms")] if late else batch[columns]).assign(_new=True))
+        every = pd.concat(rows).sort_values(ts, kind="stable") if rows else pd.DataFrame(columns=[*columns, "_new"])
         wm = pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms")
         done, opened, first = [], [], 0
         times = list(every[ts])
@@ -96,22 +104,27 @@ def capped_sessions(df: DataFrame, config: WindowConfig) -> DataFrame:
             capped = not ends and times[i] - times[first] >= cap
             if ends or capped or times[i] - times[i - 1] > gap:
                 part = every.iloc[first:i]
-                if capped or times[i - 1] + gap < wm:
-                    done.append([*key, times[first], times[i - 1], *_finish(part, config)])
-                else:
-                    opened.append(part)
+                closed = capped or times[i - 1] + gap < wm
+                if part["_new"].any() if reopen else closed:
+                    done.append([*key, times[first], times[i - 1], *_finish(part, config, whole)])
+                if not closed:
+                    opened.append(part[columns])
                 first = i
         if opened:
             rest = pd.concat(opened)
-            buffer = io.BytesIO()
-            rest.to_pickle(buffer, compression=None)
-            held.update((buffer.getvalue(),))
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(rest, preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            held.update((sink.getvalue().to_pybytes(),))
             held.setTimeoutTimestamp(max(int((rest[ts].min() + gap).timestamp() * 1000) + 1, held.getCurrentWatermarkMs() + 1))
         elif held.exists:
             held.remove()
         yield pd.DataFrame(done, columns=[f.name for f in schema])
 
-    return df.select(*keys, *columns).groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    mode = "update" if reopen else "append"
+    out = df.select(*keys, *columns).groupBy(*keys).applyInPandasWithState(run, schema, state, mode, GroupStateTimeout.EventTimeTimeout)
+    return out.select(*keys, start, end, session_id(keys, start), *[a.alias for a in config.aggregates])
 
 
 @dataclass(frozen=True)

@@ -6,11 +6,13 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quern.operators.windows import WindowConfig
+from quern.sources.snapshot import Snapshot
+from quern.streaming.dlq import DeadLetters, guarded, records
 from quern.streaming.events import JoinConfig, check_caps, stream_join, windowed_stream
 
 Target = Callable[[DataFrame, int], None]
@@ -18,7 +20,14 @@ Target = Callable[[DataFrame, int], None]
 
 @dataclass
 class StreamPipeline:
-    """Source -> SQL (on the view ``source``, batch by batch) -> window or join -> targets."""
+    """Source -> SQL (on the view ``source``, batch by batch) -> window or join -> targets.
+
+    Spark runs each stream in a session of its own, so views of the same name in pipelines
+    that run at once are not the same view.  A batch whose SQL fails is raised, dropped or
+    made dead letters (``transform_on_error``).  With ``late_data="dlq"`` of the window a
+    second query follows the source and makes rows dead letters whose windows the watermark
+    has passed.
+    """
 
     name: str
     source: DataFrame
@@ -29,12 +38,22 @@ class StreamPipeline:
     join: tuple[DataFrame, JoinConfig] | None = None
     output_mode: str | None = None
     trigger: dict = field(default_factory=lambda: {"availableNow": True})
+    transform_on_error: str = "fail"
+    letters: DeadLetters | None = None
 
     def __post_init__(self) -> None:
         if self.window and self.join:
             raise ValueError(f"{self.name}: a pipeline has a window or a join, not both")
         if not self.targets:
             raise ValueError(f"{self.name}: a pipeline needs a target")
+        if self.transform_on_error not in ("fail", "drop", "dlq"):
+            raise ValueError("transform_on_error must be fail, drop or dlq")
+        if self.letters is None and (self.transform_on_error == "dlq" or self._late_letters):
+            raise ValueError(f"{self.name}: dead letters need a table")
+
+    @property
+    def _late_letters(self) -> bool:
+        return self.window is not None and self.window.late_data == "dlq"
 
     def stream(self) -> DataFrame:
         if self.join:
@@ -44,22 +63,105 @@ class StreamPipeline:
     def start(self) -> StreamingQuery:
         """All targets get a batch before its offsets are committed; a repeated batch has the same id."""
 
+        def transformed(batch: DataFrame) -> DataFrame:
+            batch.createOrReplaceTempView("source")
+            return batch.sparkSession.sql(self.sql)
+
         def run(batch: DataFrame, batch_id: int) -> None:
             batch = batch.persist()
+            out = batch
             try:
                 if self.window:
                     check_caps(batch, self.window)
-                out = batch
                 if self.sql:
-                    batch.createOrReplaceTempView("source")
-                    out = batch.sparkSession.sql(self.sql)
+                    out = guarded(transformed, self.transform_on_error, self.name, self.letters)(batch)
                 for target in self.targets:
                     target(out, batch_id)
             finally:
+                out.unpersist()
                 batch.unpersist()
 
         mode = self.output_mode or ("update" if self.window and self.window.late_data == "reopen" else "append")
-        return self.stream().writeStream.queryName(self.name).outputMode(mode).option("checkpointLocation", self.checkpoint).trigger(**self.trigger).foreachBatch(run).start()
+        # with one stateful operator rows are late by the newest watermark; Spark would take that of the batch before for chains of them
+        chained, spark = "spark.sql.streaming.statefulOperator.allowMultiple", self.source.sparkSession
+        before = spark.conf.get(chained)
+        spark.conf.set(chained, "true" if self.window is None else "false")
+        try:
+            return self._writer(run, mode).start()
+        finally:
+            spark.conf.set(chained, before)
+
+    def _writer(self, run: Callable[[DataFrame, int], None], mode: str):
+        return self.stream().writeStream.queryName(self.name).outputMode(mode).option("checkpointLocation", self.checkpoint).trigger(**self.trigger).foreachBatch(run)
+
+    def start_late(self) -> StreamingQuery | None:
+        """The query that makes late rows dead letters, if the window asks for it.
+
+        It reads the source's batches as the main query does.  A batch's watermark is what
+        the batches before it said, kept in a table beside the checkpoint with the batch's
+        id, so a batch that is repeated is judged by the same one.
+        """
+        if not self._late_letters:
+            return None
+        config, held = self.window, Snapshot(self.source.sparkSession, f"{self.checkpoint}-late/watermark")
+        ts = config.event_time_column
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            known = held.read()
+            old = known.first() if known is not None else None
+            before = None if old is None else old["before"] if old["batch"] >= batch_id else old["after"]
+            batch = batch.persist()
+            try:
+                if before is not None:
+                    late = batch.filter(F.unix_millis(_last_end(config)) <= before)
+                    if late.limit(1).count():
+                        self.letters.append(records(late, self.name, "late_data", "the watermark has passed its windows", ts))
+                top = batch.agg(F.max(F.unix_millis(F.col(ts).cast("timestamp")))).first()[0]
+                after = max((x for x in (before, None if top is None else top - config.lateness_ms) if x is not None), default=None)
+                held.write(held.spark.createDataFrame([(batch_id, before, after)], "batch long, before long, after long"))
+            finally:
+                batch.unpersist()
+
+        return self.source.writeStream.queryName(f"{self.name}_late").option("checkpointLocation", f"{self.checkpoint}-late/checkpoint").trigger(**self.trigger).foreachBatch(run).start()
+
+    def run(self) -> None:
+        """Start all queries of the pipeline and wait for their ends."""
+        for query in [q for q in (self.start(), self.start_late()) if q is not None]:
+            query.awaitTermination()
+
+
+def _last_end(config: WindowConfig) -> Column:
+    """When the last window that a row is in ends; of a session, when it ends if nothing follows."""
+    ts = F.col(config.event_time_column).cast("timestamp")
+    if config.kind == "session":
+        return ts + F.expr("INTERVAL 1 MICROSECOND")
+    step = config.hop_ms if config.kind == "hopping" else config.duration_ms
+    return F.window(ts, f"{step} milliseconds")["start"] + F.expr(f"INTERVAL {config.duration_ms / 1000:.3f} SECONDS")
+
+
+def rewind(spark, checkpoint: str, batch_id: int, confirm: bool = False) -> list[int]:
+    """Make a stopped query read again from the batch after ``batch_id`` (-1: from the start); the batches forgotten.
+
+    A checkpoint with state needs ``confirm``: what its targets got from the batches comes
+    again, and its state goes back to that batch.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(checkpoint).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path(f"{checkpoint}/state")) and not confirm:
+        raise ValueError("the query has state; rewinding it needs confirm=True")
+    forgotten = set()
+    for part in ("commits", "offsets"):  # commits first: an offset without its commit is a batch to run again
+        if not fs.exists(path(f"{checkpoint}/{part}")):
+            continue
+        for name in [s.getPath().getName() for s in fs.listStatus(path(f"{checkpoint}/{part}"))]:
+            if name.isdigit() and int(name) > batch_id:
+                fs.delete(path(f"{checkpoint}/{part}/{name}"), False)
+                forgotten.add(int(name))
+    if batch_id < 0:
+        for part in ("state", "sources"):
+            fs.delete(path(f"{checkpoint}/{part}"), True)
+    return sorted(forgotten)
 
 
 def parquet_target(path: str) -> Target:

@@ -32,7 +32,7 @@ def one(spark, steps, value, kind="string"):
         ([nz.parse_int()], "-12", -12),
         ([nz.parse_int()], "1.5", None),
         ([nz.parse_int(on_failure="default", default=7)], "x", 7),
-        ([nz.parse_int(on_failure="default", default=7)], None, None),
+        ([nz.parse_int(on_failure="default", default=7)], None, 7),
         ([nz.parse_bool()], "YES", True),
         ([nz.parse_bool()], "0", False),
         ([nz.parse_bool()], "?", None),
@@ -56,7 +56,11 @@ def test_dates(spark):
     with pytest.raises(ValueError):
         nz.parse_date(format="YY")
     with pytest.raises(Exception, match="cannot parse"):
-        one(spark, [nz.parse_timestamp(on_failure="error")], "soon")
+        one(spark, [nz.parse_timestamp("YYYY-MM-DD", on_failure="error")], "soon")
+    for wrong in (dict(on_failure="error"), dict(default="x"), dict(on_failure="default"), dict(format="YYYYMMDD", formats=["YYYYMMDD"]), dict(formats=[])):
+        with pytest.raises(ValueError):
+            one(spark, [nz.parse_timestamp(**wrong)], "x")
+    assert one(spark, [nz.parse_bool()], "t") is None and one(spark, [nz.parse_bool()], "Y") is True
     assert str(one(spark, [nz.parse_timestamp(), nz.to_timezone("Asia/Tokyo"), nz.date_trunc("hour")], "2024-01-01 00:30:00")) == "2024-01-01 09:00:00"
     assert one(spark, [nz.clamp(1, 5)], None, "int") == 1 and one(spark, [nz.clamp(1, 5)], 9, "int") == 5
     assert one(spark, [nz.round(1)], 2.25, "double") == 2.3

@@ -137,9 +137,16 @@ def test_quality(spark):
 def test_guard(spark):
     good = analytics.guard_readonly("-- c\nSELECT 'a;b -- c' /* x */ FROM t ; ")
     assert good.startswith("SELECT 'a;b -- c'")
-    for bad in ("", None, "DROP TABLE t", "SELECT 1; SELECT 2", "SELECT * FROM read_csv('/etc/passwd')", "SELECT * FROM parquet.`/x`", "SELECT * FROM '/x'", "EXPLAIN ATTACH 'x'", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT reflect('a', 'b')"):
+    for bad in ("", None, "DROP TABLE t", "SELECT 1; SELECT 2", "FROM t INSERT INTO u SELECT *", "SELECT reflect('a', 'b')"):
         with pytest.raises(analytics.QueryError):
             analytics.guard_readonly(bad)
+    paths = ("SELECT * FROM parquet.`/x`", "SELECT 1 FROM range(2) WHERE EXISTS (SELECT 1 FROM csv.`/x`)", "WITH a AS (SELECT * FROM text.`/x`) SELECT * FROM a", "EXPLAIN SELECT (SELECT max(a) FROM json.`/x`)")
+    for bad in (*paths, "SELECT * FROM '/x'", "EXPLAIN ATTACH 'x'", "SELECT * FROM read_files('/x')", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"):
+        with pytest.raises(analytics.QueryError):
+            analytics.guard_plan(spark, analytics.guard_readonly(bad))
+    analytics.guard_plan(spark, "WITH a AS (SELECT * FROM default.t, range(3)) SELECT * FROM a WHERE id IN (SELECT id FROM b)")
+    with pytest.raises(analytics.QueryError, match="more than"):
+        analytics.Runner(spark, timeout_seconds=0.5).run("SELECT sum(a.id * b.id % 7) FROM range(10000000) a JOIN range(100000) b ON a.id <> b.id")
     assert analytics.guard_readonly("SELECT glob FROM t") and analytics.guard_readonly("SELECT 'drop table x' AS s")
     run = analytics.Runner(spark)
     r = run.run("SELECT id FROM range(20)", 5)

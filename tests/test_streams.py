@@ -199,6 +199,10 @@ def test_brokers(spark, tmp_path):
     source.streamWriter(None, False).write(iter([{"value": b"a"}, {"value": b"b"}]))
     assert [open(p, "rb").read() for p in tmp_path.glob("sent-*")] == [b"a\nb"]
     frame = messages.build_glue_frame(uuid.UUID(int=5), b"body", "zlib")
+    assert frame[18:] != b"body"
+    packed = messages.build_glue_frame(uuid.UUID(int=5), b'{"a": 3}', "zlib")
+    both = spark.createDataFrame([(packed,), (messages.build_glue_frame(uuid.UUID(int=6), b'{"a": 4}'),), (b"no frame",), (None,)], "value binary")
+    assert sorted((r.a for r in messages.decode(both, "json", "a int", frame="glue").collect()), key=str) == [3, 4, None, None]
     assert messages.parse_glue_frame(frame) == messages.GlueFrame(uuid.UUID(int=5), "zlib", b"body")
     for bad in (b"x", b"\x04" + frame[1:], frame[:17] + b"\x09" + frame[18:]):
         with pytest.raises(ValueError):
@@ -210,7 +214,7 @@ def test_brokers(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    for path, want in (("s3://b/x.PARQUET", "parquet"), ("/a/e.csv.gz", "csv"), ("h/l.ndjson", "json_lines"), ("/x.orc", "orc"), ("/none", None), ("/x.csv.gz.gz", None)):
+    for path, want in (("s3://b/x.PARQUET", "parquet"), ("/a/e.csv.gz", "csv"), ("h/l.ndjson", "json_lines"), ("a.parquet.zstd", "parquet"), ("a.csv.zst", "csv"), ("/x.orc", "orc"), ("/none", None), ("/x.csv.gz.gz", None)):
         assert files.format_from_path(path) == want
     df = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string")
     files.write(df, str(tmp_path / "t.csv"), options={"delimiter": "|", "null_value": "-"}, partition_by=())
@@ -243,3 +247,88 @@ def test_connections(tmp_path, monkeypatch):
     assert connections.resolve("three").path == "/y"
     with pytest.raises(KeyError):
         connections.resolve("four")
+
+
+def test_pipeline_late_rows_and_broken_batches(spark, tmp_path, feed):
+    batches = [[(1, at(1), 1.0), (1, at(5), 1.0)], [(1, at(100), 1.0)], [(1, at(2), 7.0), (1, at(101), -1.0)], [(1, at(500), 1.0)]]
+    letters = dlq.DeadLetters(Snapshot(spark, str(tmp_path / "letters")))
+    config = WindowConfig("tumbling", ("k",), (Aggregate("count", name="n"),), duration_ms=10_000, late_data="dlq")
+    out = str(tmp_path / "windows")
+    made = pipeline.StreamPipeline("late", feed(*batches), [pipeline.parquet_target(out)], str(tmp_path / "ck"), window=config, letters=letters)
+    made.run()
+    assert {(r.window_start, r.n) for r in spark.read.parquet(out).collect()} == {(at(0), 2), (at(100), 2)}
+    found = letters.table().collect()
+    assert [(r.stage, json.loads(bytes(r.payload))["v"]) for r in found] == [("late_data", 7.0)]
+    made.run()  # nothing new comes, and nothing is said twice
+    assert letters.depth() == {"pending": 1}
+    sql = "SELECT k, IF(v < 0, raise_error('negative'), v) AS v FROM source"
+    for on_error, rows, depth in (("drop", 3, 1), ("dlq", 3, 3)):
+        path = finish(spark, tmp_path, feed(*batches, name=f"in-{on_error}"), sql=sql, transform_on_error=on_error, letters=letters)
+        assert spark.read.parquet(f"{path}/out").agg(F.count("v")).first()[0] == rows + 1 and sum(letters.depth().values()) == depth
+    with pytest.raises(Exception, match="negative"):
+        finish(spark, tmp_path, feed(*batches, name="in-fail"), sql=sql)
+    for bad in (dict(transform_on_error="retry"), dict(transform_on_error="dlq"), dict(window=config)):
+        with pytest.raises(ValueError):
+            pipeline.StreamPipeline("x", None, [print], "/x", **bad)
+
+
+def test_sessions_reopen_and_sums_pass_64_bits(spark, tmp_path, feed):
+    schema, big = "k int, _event_ts timestamp, v long", 2**62
+    batches = [[(1, at(0), big), (1, at(30), big)], [(1, at(15), big), (2, at(16), 1)], [(1, at(17), big)]]
+    table = Snapshot(spark, str(tmp_path / "sessions"))
+    config = WindowConfig("session", ("k",), (Aggregate("count", name="n"), Aggregate("sum", "v", "s")), gap_ms=20_000, max_session_duration_ms=600_000, late_data="reopen", allowed_lateness_ms=600_000)
+    finish(spark, tmp_path, feed(*batches, schema=schema), window=config, targets=[pipeline.upsert_target(table, ["k", "session_id"])])
+    rows = {(r.k, r.window_start, r.window_end, r.n, int(r.s)) for r in table.read().collect()}
+    # two sessions are bridged by a late row; the later one's old id stays in a target that replaces by id
+    assert rows == {(1, at(0), at(30), 4, 4 * big), (1, at(30), at(30), 1, big), (2, at(16), at(16), 1, 1)}
+    day = WindowConfig("tumbling", ("k",), (Aggregate("sum", "v", "s"),), duration_ms=1000, event_time_column="_event_ts")
+    from quern.operators import windows
+
+    df = spark.createDataFrame([(1, at(0), big)] * 4, schema)
+    assert int(windows.windowed(df, day).first().s) == 4 * big
+    same = windows.windowed(spark.createDataFrame([r for b in batches for r in b], schema), config)
+    assert {r.session_id for r in same.collect()} <= {r.session_id for r in table.read().collect()}
+
+
+def test_caps_of_stream_state(spark, tmp_path, feed):
+    config = WindowConfig("tumbling", ("k",), (Aggregate("count_distinct", "v", "d"),), duration_ms=10_000, max_distinct_values_per_group=2)
+    batches = [[(1, at(i), float(i)) for i in range(3)], [(1, at(100), 1.0)], [(1, at(200), 1.0)]]
+    with pytest.raises(Exception, match="more than 2 distinct values of v"):
+        finish(spark, tmp_path, feed(*batches), window=config)
+    from quern.operators import windows
+
+    with pytest.warns(ResourceWarning):
+        assert windows.warn_of_state(config, 1000)
+    assert not windows.warn_of_state(config)
+
+
+def test_rewind(spark, tmp_path, feed):
+    seen = []
+    stream = feed([(1, at(0), 1.0)], [(2, at(1), 2.0)], [(3, at(2), 3.0)])
+    made = pipeline.StreamPipeline("rewound", stream, [lambda df, i: seen.extend((i, r.k) for r in df.collect())], str(tmp_path / "ck"))
+    made.run()
+    assert seen == [(0, 1), (1, 2), (2, 3)]
+    assert pipeline.rewind(spark, str(tmp_path / "ck"), 0) == [1, 2]
+    made.run()
+    assert sorted(k for _, k in seen[3:]) == [2, 3] and min(i for i, _ in seen[3:]) == 1
+    (tmp_path / "ck" / "state").mkdir()
+    with pytest.raises(ValueError, match="confirm"):
+        pipeline.rewind(spark, str(tmp_path / "ck"), -1)
+    assert 0 in pipeline.rewind(spark, str(tmp_path / "ck"), -1, confirm=True)
+    made.run()
+    assert sorted(k for _, k in seen[5:]) == [1, 2, 3] and min(i for i, _ in seen[5:]) == 0
+
+
+def test_topic_letters_and_kafka_messages(spark, tmp_path):
+    topic = dlq.TopicLetters("json", path=str(tmp_path / "topic"))
+    bad = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    topic.append(dlq.records(bad, "p", "transform", "boom"))
+    said = spark.read.schema("value binary").json(str(tmp_path / "topic"))
+    assert sorted(map(tuple, topic.replay(said, "id int, v string", "p").collect())) == [(1, "a"), (2, "b")]
+    assert topic.replay(said, "id int", "other").count() == 0 and topic.messages(said).first().stage == "transform"
+    m = messages.kafka_messages(bad, F.col("id")).orderBy("key").first()
+    assert (bytes(m.key), json.loads(bytes(m.value))) == (b"1", {"id": 1, "v": "a"})
+    assert messages.kafka_messages(spark.createDataFrame([(b"x",)], "value binary"), format="raw_bytes").columns == ["value"]
+    with pytest.raises(ValueError):
+        messages.kafka_messages(bad, format="xml")
+    assert callable(messages.kafka_target("h:1", "t"))
