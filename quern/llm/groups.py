@@ -155,6 +155,12 @@ def decode(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def range_cuts_of(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ascending ``parts``, and where each begins; the last place is the end."""
+    cuts = np.flatnonzero(np.diff(parts, prepend=-1))
+    return parts[cuts], np.append(cuts, len(parts))
+
+
 def range_cuts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Which ranges sorted keys fall in, and where each begins; the last place is the end."""
     if not len(keys):
