@@ -72,7 +72,11 @@ def from_text(text: str) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
-    """Adds nothing but returns ``doc_id``, ``sketch`` (array of long, ascending) and ``shingles`` (estimate)."""
+    """``doc_id``, ``sketch`` (array of long, ascending) and ``shingles`` (estimated number of distinct ones) of every row.
+
+    A null or empty text has an empty sketch and no shingles; repeated rows have one row each;
+    ids are passed on, null too; other columns are not read.
+    """
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +91,8 @@ def merged(sketched: DataFrame, *keys: str, k: int = K) -> DataFrame:
     """One sketch for each value of ``keys``, from the sketches of its rows.
 
     Values are deduplicated before the shuffle, and of each key no more than ``k`` go on.
+    Null keys are a key; repeated rows change nothing; a key whose sketches are all empty
+    or null has no row.
     """
     values = sketched.select(*keys, F.explode("sketch").alias("_h")).distinct()
     first = values.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))).filter(F.col("_n") <= k)

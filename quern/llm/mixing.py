@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import WORD_CLASS, keep
 
 LEVELS = ("domain", "lang", "source")
-#: Hexadecimal digits of the hash that name a range: 4096 ranges for each leaf.
-RANGE_DIGITS = 3
+#: Rows that a hash range of a leaf has at most, about, and hexadecimal digits of the hash that name a range at least.
+RANGE_ROWS, RANGE_DIGITS = 4096, 3
+#: Rows of weights that are sent to all executors at most.
+BROADCAST_ROWS = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -38,13 +40,14 @@ def budgets(leaves: DataFrame, weights: DataFrame, total: float, max_epochs: int
     ``weights`` has rows (``LEVELS``, ``weight``), null below the node that is meant;
     other nodes weigh 1.  Weights below 1e-9 count as that.
     """
+    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     out = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs)
     out = out.withColumn("_share", F.lit(float(total)))
     for depth in range(1, len(LEVELS) + 1):
         path, above = LEVELS[:depth], LEVELS[: depth - 1]
         given = weights.filter(" AND ".join([f"{c} IS NOT NULL" for c in path] + [f"{c} IS NULL" for c in LEVELS[depth:]])).groupBy(*path).agg(F.max("weight").alias("_w"))
         nodes = out.groupBy(*path).agg(F.sum("cap").alias("_cap"), F.max("_share").alias("_in"))
-        nodes = nodes.join(F.broadcast(given), list(path), "left").withColumn("_w", F.greatest(F.coalesce("_w", F.lit(1.0)), F.lit(1e-9)))
+        nodes = nodes.join(F.broadcast(given) if few else given, list(path), "left").withColumn("_w", F.greatest(F.coalesce("_w", F.lit(1.0)), F.lit(1e-9)))
         nodes = nodes.withColumn("_full_at", F.col("_cap") / F.col("_w"))
         siblings = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
         by = siblings.orderBy("_full_at", LEVELS[depth - 1])
@@ -74,7 +77,8 @@ def cuts(rows: DataFrame, weights: DataFrame, share: float, max_epochs: int, see
     plan = budgets(leaves, weights, total, max_epochs).withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long"))
     plan = keep(plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
     keyed = rows.join(plan.filter("rest > 0").select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("key", order_key(F.col("epochs"), seed))
-    keyed = keyed.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    digits = max(RANGE_DIGITS, math.ceil(math.log(max(1, rows.count()) / RANGE_ROWS, 16)))
+    keyed = keyed.withColumn("range", F.substring("key", 1, digits))
     sums = keyed.groupBy(*LEVELS, "rest", "range").agg(F.sum("n_tokens").alias("n"))
     over = Window.partitionBy(*LEVELS).orderBy("range")
     ends = sums.withColumn("end", F.sum("n").over(over)).withColumn("start", F.col("end") - F.col("n"))
