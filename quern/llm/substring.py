@@ -29,7 +29,7 @@ from quern.llm.common import CLEAN, SMALL_PAGES, Words, configured, delete, drop
 
 WINDOW = 13
 #: Batches that documents are cut into, and runs that the index may have before they are compacted.
-BATCHES, RUNS = 4, 2
+BATCHES, RUNS = 3, 1
 
 _ENTRIES = "bucket long, grp long, n long, data binary"
 #: Answers to groups have ``bits`` and ``sources``, runs have ``run`` and a negative ``grp``: in files of columns, each is read without the other.
@@ -299,13 +299,13 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
     size = groups.text_bytes(docs)
     bounds = groups.batch_bounds(docs, batches)
     per_batch = groups.group_count(-(-size // (len(bounds) + 1)))
-    packed = keep(groups.pack(docs, per_batch, bounds=bounds).withColumn("batch", F.floor(F.col("grp") / per_batch).cast("int")), "packed", "batch")
+    packed = keep(groups.pack(docs, per_batch, bounds=bounds).sortWithinPartitions("grp"), "packed")
     for check in (index.check,) if index is not None else (check_bytes(size // 6), 8):
         own = index or SubstringIndex(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}", groups.range_bits(size // 6), check)
         known = own.runs() > 0
         parts = []
         for k in range(len(bounds) + 1):
-            batch = packed.filter(f"batch = {k}").select("grp", "blob")
+            batch = packed.filter(f"grp >= {k * per_batch} AND grp < {(k + 1) * per_batch}")
             answers = own.add(_entries(batch, own.bits, width, check))
             parts.append(keep(_found(batch, answers, width, check), "found"))
             own.compact()
@@ -314,8 +314,8 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
         found = parts[0]
         for part in parts[1:]:
             found = found.unionByName(part)
-        if known or not _unverified(packed.select("grp", "blob"), found, width).limit(1).count():
-            return _applied(packed.select("grp", "blob"), found, docs, width)
+        if known or not _unverified(packed, found, width).limit(1).count():
+            return _applied(packed, found, docs, width)
         drop(*parts)
     raise RuntimeError("documents have passages of different words with equal hashes of 128 bits")
 
@@ -331,7 +331,7 @@ class SubstringIndex:
 
     def __init__(self, spark: SparkSession, path: str, bits: int = 6, check: int = 4) -> None:
         self.spark, self.path, self.bits, self.check = spark, path.rstrip("/"), bits, check
-        self.buckets = 1 << max(bits - 4, min(bits, 5))
+        self.buckets = 1 << max(bits - 4, min(bits, 4))
         self.generation = max((int(p.rsplit("-", 1)[1]) for p in self._folders()), default=0)
         self._open()
 
