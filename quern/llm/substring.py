@@ -30,6 +30,8 @@ from quern.llm.common import CLEAN, SMALL_PAGES, Words, configured, delete, drop
 WINDOW = 13
 #: Batches that documents are cut into, and runs that the index may have before they are compacted.
 BATCHES, RUNS = 3, 1
+#: Bytes of text that a task packs.
+TASK_BYTES = 64 << 20
 
 _ENTRIES = "bucket long, grp long, n long, data binary"
 #: Answers to groups have ``bits`` and ``sources``, runs have ``run`` and a negative ``grp``: in files of columns, each is read without the other.
@@ -299,24 +301,21 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
     size = groups.text_bytes(docs)
     bounds = groups.batch_bounds(docs, batches)
     per_batch = groups.group_count(-(-size // (len(bounds) + 1)))
-    packed = keep(groups.pack(docs, per_batch, bounds=bounds).sortWithinPartitions("grp"), "packed")
+    tasks = max(1, -(-size // TASK_BYTES))
+    packed = keep(groups.pack(docs.coalesce(tasks), per_batch, bounds=bounds).sortWithinPartitions("grp"), "packed")
     for check in (index.check,) if index is not None else (check_bytes(size // 6), 8):
         own = index or SubstringIndex(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}", groups.range_bits(size // 6), check)
-        known = own.runs() > 0
-        parts = []
+        known, answers = own.runs() > 0, None
         for k in range(len(bounds) + 1):
             batch = packed.filter(f"grp >= {k * per_batch} AND grp < {(k + 1) * per_batch}")
-            answers = own.add(_entries(batch, own.bits, width, check))
-            parts.append(keep(_found(batch, answers, width, check), "found"))
+            said = own.add(_entries(batch, own.bits, width, check))
+            answers = said if answers is None else answers.unionByName(said)
             own.compact()
-        if index is None:
-            own.remove()
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
+        found = keep(_found(packed, answers, width, check).coalesce(tasks), "found")
+        own.clean() if index is not None else own.remove()
         if known or not _unverified(packed, found, width).limit(1).count():
             return _applied(packed, found, docs, width)
-        drop(*parts)
+        drop(found)
     raise RuntimeError("documents have passages of different words with equal hashes of 128 bits")
 
 
@@ -331,7 +330,8 @@ class SubstringIndex:
 
     def __init__(self, spark: SparkSession, path: str, bits: int = 6, check: int = 4) -> None:
         self.spark, self.path, self.bits, self.check = spark, path.rstrip("/"), bits, check
-        self.buckets = 1 << max(bits - 4, min(bits, 4))
+        self.last = -1  # the number of the latest batch, though it had no entries
+        self.buckets = 1 << max(bits - 4, min(bits, 3))
         self.generation = max((int(p.rsplit("-", 1)[1]) for p in self._folders()), default=0)
         self._open()
 
@@ -369,12 +369,12 @@ class SubstringIndex:
 
     def add(self, entries: DataFrame) -> DataFrame:
         """Merge a batch's entries with all runs, keep what is new as one more, and give the answers to its groups."""
-        batch = self._latest() + 1
+        self.last = batch = max(self._latest(), self.last) + 1
         self._write(_joined(self._history(), entries, self.check), batch, self.generation)
         return self._table().filter(f"batch = {batch} AND grp >= 0").select("bucket", "grp", "n", "hits", "bits", "sources")
 
     def compact(self, most: int = RUNS) -> None:
-        """Merge all runs into one if there are more than ``most``.  Answers that are still to be read go, too."""
+        """Merge all runs into one if there are more than ``most``.  Answers of before stay in the old generation until ``clean``."""
         if self.runs() <= most:
             return
         check = self.check
@@ -386,7 +386,12 @@ class SubstringIndex:
         old, last = self.generation, self._latest()
         self._write(self._history().groupBy("bucket").applyInArrow(groups.released(merged), _STORED), last, old + 1)
         self.generation = old + 1
-        self._forget(old)
+
+    def clean(self) -> None:
+        """Delete generations before this one, when nothing is to be read from them any more."""
+        for path in self._folders():
+            if (number := int(path.rsplit("-", 1)[1])) < self.generation:
+                self._forget(number)
 
     def _forget(self, generation: int) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._name(generation)}")
@@ -394,5 +399,6 @@ class SubstringIndex:
 
     def remove(self) -> None:
         """Delete the index."""
+        self.clean()
         self._forget(self.generation)
         delete(self.spark, self.path)
