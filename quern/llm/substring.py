@@ -30,6 +30,8 @@ from quern.llm.common import CLEAN, SMALL_PAGES, Words, configured, delete, drop
 WINDOW = 13
 #: Batches that documents are cut into, and runs that the index may have before they are compacted.
 BATCHES, RUNS = 3, 1
+#: Times as many ranges as elsewhere, so that a run's rows stay below half a megabyte, which the JVM's collector handles well.
+RANGES = 8
 #: Bytes of text that a task packs.
 TASK_BYTES = 64 << 20
 
@@ -136,8 +138,8 @@ def _stored(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=["bucket", "grp", "n", "hits", "bits", "sources", "run"])
 
 
-def _joined(history: DataFrame, entries: DataFrame, check: int) -> DataFrame:
-    """Of each range the answers to its groups and the run of what the batch adds to history."""
+def _joined(history: DataFrame, entries: DataFrame, check: int, keep_run: bool) -> DataFrame:
+    """Of each range the answers to its groups and, if it is to be kept, the run of what the batch adds to history."""
 
     def make(old: pa.Table, rows: pa.Table) -> pa.Table:
         made: list[tuple] = []
@@ -156,7 +158,8 @@ def _joined(history: DataFrame, entries: DataFrame, check: int) -> DataFrame:
                 said = source[hit]
                 made.append((bucket, grp, len(hit), len(said), np.packbits(hit).tobytes(), groups.code(np.zeros(len(said), dtype=np.uint64), said), None))
             more = batch[1] < before
-            made.append((bucket, -1, int(more.sum()), 0, None, None, _coded(tuple(x[more] for x in batch), check)))
+            if keep_run:
+                made.append((bucket, -1, int(more.sum()), 0, None, None, _coded(tuple(x[more] for x in batch), check)))
         return _stored(made)
 
     return history.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(groups.released(make), _STORED)
@@ -304,13 +307,15 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
     tasks = max(1, -(-size // TASK_BYTES))
     packed = keep(groups.pack(docs.coalesce(tasks), per_batch, bounds=bounds).sortWithinPartitions("grp"), "packed")
     for check in (index.check,) if index is not None else (check_bytes(size // 6), 8):
-        own = index or SubstringIndex(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}", groups.range_bits(size // 6), check)
+        own = index or SubstringIndex(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}", groups.range_bits(RANGES * (size // 6)), check)
         known, answers = own.runs() > 0, None
         for k in range(len(bounds) + 1):
             batch = packed.filter(f"grp >= {k * per_batch} AND grp < {(k + 1) * per_batch}")
-            said = own.add(_entries(batch, own.bits, width, check))
+            # after the last batch nothing asks an index that is made for this call alone
+            said = own.add(_entries(batch, own.bits, width, check), index is not None or k < len(bounds))
             answers = said if answers is None else answers.unionByName(said)
-            own.compact()
+            if k < len(bounds) or index is not None:
+                own.compact()
         found = keep(_found(packed, answers, width, check).coalesce(tasks), "found")
         own.clean() if index is not None else own.remove()
         if known or not _unverified(packed, found, width).limit(1).count():
@@ -367,10 +372,10 @@ class SubstringIndex:
         """How many runs there are."""
         return self._table().select("batch").distinct().count()
 
-    def add(self, entries: DataFrame) -> DataFrame:
+    def add(self, entries: DataFrame, keep_run: bool = True) -> DataFrame:
         """Merge a batch's entries with all runs, keep what is new as one more, and give the answers to its groups."""
         self.last = batch = max(self._latest(), self.last) + 1
-        self._write(_joined(self._history(), entries, self.check), batch, self.generation)
+        self._write(_joined(self._history(), entries, self.check, keep_run), batch, self.generation)
         return self._table().filter(f"batch = {batch} AND grp >= 0").select("bucket", "grp", "n", "hits", "bits", "sources")
 
     def compact(self, most: int = RUNS) -> None:
