@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -50,6 +50,7 @@ class TrieBPE:
         self.vocab = {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.vocab.items()}
         self.longest = max(map(len, self.vocab))
+        self.length = {i: len(b) for i, b in self.bytes_of.items()}
         #: Lengths to try for the token that ends a prefix, likely ones first; just one of them fits.
         likely = [3, 2, 4, 1, *range(5, self.longest + 1)]
         self.lengths = [tuple(n for n in likely if n <= end) for end in range(self.longest + 1)]
@@ -96,9 +97,9 @@ class TrieBPE:
             known = self.kept[key] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
-    def learn(self, words: set[str]) -> None:
-        """Encode distinct pre-tokens in the depth-first order of their trie."""
-        vocab, longest, known, stands, bytes_of, lengths = self.vocab.get, self.longest, self.kept, self.stands, self.bytes_of, self.lengths
+    def states(self, words: Iterable[str]) -> Iterator[tuple[str, bytes, list[int]]]:
+        """Distinct pre-tokens in the depth-first order of their trie, each with its bytes and the last token of each of its prefixes."""
+        vocab, longest, known, stands, lengths = self.vocab.get, self.longest, self.kept, self.stands, self.lengths
         last: list[int] = [-1]  # by depth: the last token of the path's prefix of that length
         path = b""
         for raw, word in sorted((w.encode(), w) for w in words):
@@ -123,7 +124,24 @@ class TrieBPE:
                         break
                 last.append(token)
             path = raw
-            out, end = [], n
+            yield word, raw, last
+
+    def sizes(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """Distinct pre-tokens or special tokens, each with its number of tokens; none are remembered."""
+        length, special = self.length, self.special
+        yield from ((w, 1) for w in words if w in special)
+        for word, raw, last in self.states([w for w in words if w not in special]):
+            n, end = 0, len(raw)
+            while end:
+                n += 1
+                end -= length[last[end]]
+            yield word, n
+
+    def learn(self, words: set[str]) -> None:
+        """Encode distinct pre-tokens."""
+        bytes_of = self.bytes_of
+        for word, raw, last in self.states(words):
+            out, end = [], len(raw)
             while end:
                 out.append(last[end])
                 end -= len(bytes_of[last[end]])

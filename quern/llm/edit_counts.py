@@ -12,10 +12,10 @@ up to its length before, so the new split begins that much earlier.
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from quern.llm.bpe import TrieBPE, model
 from quern.llm.common import arrow_rows, slices
 
 BLOCK = 64
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 class CountTree:
@@ -102,20 +103,31 @@ class EditCounter:
         #: Characters around an edit that may belong to a special token with it.
         self.reach = max(map(len, bpe.special), default=0)
 
-    def counts(self, words: list[str]) -> list[int]:
+    def learn(self, words: set[str]) -> None:
+        """Know the token counts of all these words."""
         known = self.known
-        if not known.keys() >= set(words):
-            if len(known) > 400_000:
-                known.clear()
-            self.bpe.prepare([words])
-            for w in words:
-                if w not in known:
-                    known[w] = self.bpe.ids[w].count(",") + 1
-        return [known[w] for w in words]
+        new = [w for w in words if w not in known]
+        if new and len(known) > 400_000:
+            known.clear()
+            new = list(words)
+        if new:
+            known.update(self.bpe.sizes(new))
+
+    def counts(self, words: list[str]) -> list[int]:
+        try:
+            return list(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(set(words))
+        return list(map(self.known.__getitem__, words))
 
     def build(self, text: str) -> CountTree:
-        words = self.bpe.pieces(text)
-        return CountTree(list(map(len, words)), self.counts(words))
+        return self.build_all([text])[0]
+
+    def build_all(self, texts: list[str]) -> list[CountTree]:
+        """Trees of texts, whose words are encoded at once, so that they share one trie."""
+        words = [self.bpe.pieces(t) for t in texts]
+        self.learn(set().union(*words))
+        return [CountTree(list(map(len, w)), self.counts(w)) for w in words]
 
     def edit(self, tree: CountTree, text: str, start: int, end: int, new: str) -> tuple[str, int]:
         """Replace ``text[start:end]``; returns the new text and how many pre-tokens were encoded again.
@@ -164,13 +176,15 @@ class EditCounter:
 
 
 def _packed(tree: CountTree) -> bytes:
-    rows = np.array([[x for b in tree.lengths for x in b], [x for b in tree.counts for x in b]], dtype=np.int32)
-    return zlib.compress(rows.tobytes(), 1)
+    raw = array("i", list(chain(*tree.lengths, *tree.counts))).tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _unpacked(data: bytes) -> CountTree:
-    rows = np.frombuffer(zlib.decompress(data), dtype=np.int32).reshape(2, -1)
-    return CountTree(rows[0].tolist(), rows[1].tolist())
+    rows = array("i")
+    rows.frombytes(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
+    half = len(rows) // 2
+    return CountTree(rows[:half].tolist(), rows[half:].tolist())
 
 
 _COUNTERS: dict[str, EditCounter] = {}
@@ -193,7 +207,7 @@ def build(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in slices(batches, "text"):
-            trees = [count.build(t) for t in batch.column(1).to_pylist()]
+            trees = count.build_all(batch.column(1).to_pylist())
             columns = [batch.column(0), batch.column(1), pa.array([t.total for t in trees], pa.int64()), pa.array(map(_packed, trees), pa.binary()), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_tokens", "tree", *carry])
 

@@ -57,3 +57,18 @@ def test_work_is_local(spark):
     by = {(r.doc_id, r.tokens_before): r for r in rows}
     assert len(rows) == 4 and by[1, 10001].reencoded < 12 and by[1, 10001].pretokens > 9000
     assert by[2, 0].n_tokens > 0 and by[2, 0].text == "ab cd"
+
+
+def test_words_of_a_batch_share_one_trie(spark, monkeypatch):
+    """A batch's words go through one trie and no ids are spelt out; a memory that is full starts anew."""
+    bpe = TrieBPE(PATH)
+    whole = tokenizers.Tokenizer.from_file(PATH)
+    count, calls, states = edit_counts.EditCounter(bpe), [], bpe.states
+    monkeypatch.setattr(bpe, "states", lambda words: calls.append(len(words)) or states(words))
+    texts = [f"word{i} and wording é{i}'s <|endoftext|> 中 " * 2 for i in range(50)] + ["", "<|endoftext|>"]
+    trees = count.build_all(texts)
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [t.total for t in trees] == want and len(calls) == 1 and set(bpe.ids) == set(bpe.special)
+    count.known.update((str(-i), 1) for i in range(400_001))
+    assert count.build(texts[3] + " new").total == len(whole.encode(texts[3] + " new", add_special_tokens=False).ids)
+    assert len(count.known) < 100
