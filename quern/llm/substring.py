@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import groups
-from quern.llm.common import CLEAN, SMALL_PAGES, Words, configured, delete, drop, keep, shared_dir, text_buffers
+from quern.llm.common import CLEAN, SMALL_PAGES, Words, configured, delete, drop, keep, settle, shared_dir, text_buffers
 
 WINDOW = 13
 #: Batches that documents are cut into, and runs that the index may have before they are compacted.
@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
     per_batch = groups.group_count(-(-size // (len(bounds) + 1)))
     tasks = max(1, -(-size // TASK_BYTES))
     packed = keep(groups.pack(docs.coalesce(tasks), per_batch, bounds=bounds).sortWithinPartitions("grp"), "packed")
+    settle(spark)
     for check in (index.check,) if index is not None else (check_bytes(size // 6), 8):
         own = index or SubstringIndex(spark, f"{shared_dir(spark)}/quern-index-{uuid.uuid4().hex}", groups.range_bits(RANGES * (size // 6)), check)
         known, answers = own.runs() > 0, None
@@ -316,9 +317,15 @@ def remove_repeats(docs: DataFrame, index: SubstringIndex | None = None, width:
             answers = said if answers is None else answers.unionByName(said)
             if k < len(bounds) or index is not None:
                 own.compact()
+            settle(spark)
+        if index is None:
+            own.forget_merged()
         found = keep(_found(packed, answers, width, check).coalesce(tasks), "found")
         own.clean() if index is not None else own.remove()
-        if known or not _unverified(packed, found, width).limit(1).count():
+        settle(spark)
+        with configured(spark, CLEAN):
+            wrong = 0 if known else _unverified(packed, found, width).limit(1).count()
+        if not wrong:
             return _applied(packed, found, docs, width)
         drop(found)
     raise RuntimeError("documents have passages of different words with equal hashes of 128 bits")
@@ -335,6 +342,7 @@ class SubstringIndex:
 
     def __init__(self, spark: SparkSession, path: str, bits: int = 6, check: int = 4) -> None:
         self.spark, self.path, self.bits, self.check = spark, path.rstrip("/"), bits, check
+        self.merged = -1  # the batch under which compaction has stored the merged run, and nothing else
         self.last = -1  # the number of the latest batch, though it had no entries
         self.buckets = 1 << max(bits - 4, min(bits, 3))
         self.generation = max((int(p.rsplit("-", 1)[1]) for p in self._folders()), default=0)
@@ -390,7 +398,13 @@ class SubstringIndex:
 
         old, last = self.generation, self._latest()
         self._write(self._history().groupBy("bucket").applyInArrow(groups.released(merged), _STORED), last, old + 1)
-        self.generation = old + 1
+        self.generation, self.merged = old + 1, last
+
+    def forget_merged(self) -> None:
+        """Delete the merged run, when nothing will ask the index any more; answers to groups stay."""
+        if self.merged >= 0:
+            self.spark.sql(f"ALTER TABLE {self._name(self.generation)} DROP IF EXISTS PARTITION (batch = {self.merged})")
+            delete(self.spark, f"{self.path}/gen-{self.generation}/batch={self.merged}")
 
     def clean(self) -> None:
         """Delete generations before this one, when nothing is to be read from them any more."""

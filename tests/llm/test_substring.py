@@ -96,3 +96,28 @@ def test_passages_are_verified_by_words(spark):
     found = spark.createDataFrame([member, *((1, 0, 0, None, *p) for p in passages)], "kind int, grp long, n long, places binary, source long, digest binary, passage binary")
     assert [bytes(r.digest) for r in substring._unverified(packed, found, 2).collect()] == [b"not"]
     assert substring.check_bytes(1 << 20) == 1 and substring.check_bytes(1 << 45) == 6
+
+
+def test_heaps_are_given_back_between_steps(spark, monkeypatch):
+    """Garbage of one step does not stand beside the next step's memory."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    collected = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    before = collected()
+    docs = spark.createDataFrame([(i, f"some words {i % 3} " * 20) for i in range(12)], "doc_id long, text string")
+    assert substring.remove_repeats(docs, batches=1).count() == 12
+    assert collected() > before
+
+
+def test_a_run_that_nothing_asks_is_deleted(spark, monkeypatch):
+    """Answers are read when the index of a single call no longer holds its merged run."""
+    rows, held = corpus(random.Random(6)), []
+    found = substring._found
+
+    def watched(packed, answers, width, check):
+        made = [x for x in spark.catalog.listTables() if x.name.startswith("quern_index_")]
+        held.extend(spark.table(x.name).filter("grp < 0 AND n > 0").select("batch").distinct().count() for x in made if x.name.endswith("_1"))
+        return found(packed, answers, width, check)
+
+    monkeypatch.setattr(substring, "_found", watched)
+    assert result(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert held == [0]
