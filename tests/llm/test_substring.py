@@ -1,10 +1,12 @@
 """Removal of repeats against a plain loop over all windows."""
 
+import gc
 import random
+import weakref
 
 import numpy as np
 
-from quern.llm import groups, substring
+from quern.llm import common, groups, substring
 
 
 def brute(rows, width=13):
@@ -121,3 +123,47 @@ def test_a_run_that_nothing_asks_is_deleted(spark, monkeypatch):
     monkeypatch.setattr(substring, "_found", watched)
     assert result(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
     assert held == [0]
+
+
+def test_runs_that_are_merged_are_deleted(spark, monkeypatch):
+    """A compaction leaves the answers of the generation before, not its runs, so that these do not stand beside the next batch."""
+    rows, runs, answers = corpus(random.Random(8)), [], []
+    compact = substring.SubstringIndex.compact
+
+    def watched(index, *args):
+        old = index.generation
+        compact(index, *args)
+        if index.generation > old:
+            before = spark.table(index._name(old))
+            runs.append(before.filter("grp < 0").count())
+            answers.append(before.filter("grp >= 0").count())
+
+    monkeypatch.setattr(substring.SubstringIndex, "compact", watched)
+    assert result(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert runs == [0] and answers[0] > 0
+
+
+def test_release_leaves_out_what_lives_all_along():
+    """Modules are looked through once, not after every group; what a group leaves is still collected."""
+
+    class Node:
+        pass
+
+    common.release()
+    known = len(gc.get_objects())
+    assert gc.get_freeze_count() > known
+    node = Node()
+    node.me, gone = node, weakref.ref(node)
+    del node
+    common.release()
+    assert gone() is None
+
+
+def test_order_of_hashes_that_tie_or_clash():
+    rng = np.random.default_rng(3)
+    for kinds in (1, 7, 1 << 40):
+        key = rng.integers(0, kinds, 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for check in (key >> np.uint64(56), rng.integers(0, 3, 2000).astype(np.uint64)):
+            order, new = substring._order(key, check)
+            assert (order == np.lexsort((check, key))).all()
+            assert new.sum() == len(set(zip(key.tolist(), check.tolist())))
