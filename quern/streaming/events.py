@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,81 +50,109 @@ def windowed_stream(df: DataFrame, config: WindowConfig) -> DataFrame:
     return out.select(*config.group_by, F.col("_w.start").alias(start), F.col("_w.end").alias(end), *[a.alias for a in config.aggregates])
 
 
-def _finish(rows: pd.DataFrame, config: WindowConfig, whole: set[str]) -> list[Any]:
-    out = []
+def _finish(rows: pd.DataFrame, piece: np.ndarray, config: WindowConfig, whole: set[str]) -> dict[str, Any]:
+    """The aggregates of rows in order of time by the number of their session, numbers ascending."""
+    numbers, out = np.unique(piece), {}
     for a in config.aggregates:
         if a.kind == "count" and not a.column:
-            out.append(len(rows))
+            out[a.alias] = np.unique(piece, return_counts=True)[1]
             continue
-        known = rows[rows[a.column].notna()].sort_values(config.event_time_column, kind="stable")[a.column]
+        there = rows[a.column].notna().to_numpy()
+        known, at = rows[a.column][there], piece[there]
+        groups = known.groupby(at)
         if a.kind == "count":
-            out.append(len(known))
+            made = groups.size()
         elif a.kind == "count_distinct":
-            if known.nunique() > config.max_distinct_values_per_group:
+            made = groups.nunique()
+            if (made > config.max_distinct_values_per_group).any():
                 raise ValueError(f"more than {config.max_distinct_values_per_group} distinct values of {a.column}")
-            out.append(int(known.nunique()))
-        elif known.empty:
-            out.append(None)
+        elif a.kind == "sum" and a.column in whole and known.dtype.kind in "iu":
+            numerals = known.to_numpy().astype("int64")
+            high, low = (pd.Series(half).groupby(at).sum() for half in (numerals >> 32, numerals & 0xFFFFFFFF))
+            made = pd.Series([Decimal((int(h) << 32) + int(x)) for h, x in zip(high, low)], high.index, dtype=object)
         elif a.kind == "sum" and a.column in whole:
-            out.append(Decimal(sum(int(x) for x in known)))
+            made = pd.Series({k: Decimal(sum(map(int, v))) for k, v in groups}, dtype=object)
+        elif a.kind in ("sum", "avg") and known.dtype == object:
+            made = pd.Series({k: v.sum() if a.kind == "sum" else v.mean() for k, v in groups}, dtype=object)
         else:
-            out.append({"sum": known.sum, "min": known.min, "max": known.max, "avg": known.mean, "first": lambda k=known: k.iloc[0], "last": lambda k=known: k.iloc[-1]}[a.kind]())
+            made = getattr(groups, {"avg": "mean"}.get(a.kind, a.kind))()
+        out[a.alias] = made.reindex(numbers, fill_value=0) if a.kind.startswith("count") else made.reindex(numbers)
+        out[a.alias] = out[a.alias].array
     return out
 
 
+#: Fixed: groups that keys are dealt to by their hash. The state of a checkpoint belongs to this number.
+GROUPS = 1024
+
+
 def capped_sessions(df: DataFrame, config: WindowConfig) -> DataFrame:
     """Sessions of a stream, closed by the gap or the cap, with their ``session_id``.
 
-    State holds an open key's rows (event time and aggregated columns, as an Arrow stream)
-    until the watermark passes the last event by the gap; rows below the watermark are
-    dropped.  With ``late_data="reopen"`` the watermark is later by the allowed lateness, and
-    each session that got rows is given again at once, merged with those it now touches, for
-    a sink that replaces by key and ``session_id``.
+    State holds the rows of open sessions (key, event time and aggregated columns, as an Arrow
+    stream for each of ``GROUPS`` groups of keys, so that a batch costs a call for each group and
+    not for each key) until the watermark passes the last event by the gap; rows below the
+    watermark and rows without an event time are dropped.  With ``late_data="reopen"`` the
+    watermark is later by the allowed lateness, and each session that got rows is given again at
+    once, merged with those it now touches, for a sink that replaces by key and ``session_id``.
     """
     ts, keys, reopen = config.event_time_column, list(config.group_by), config.late_data == "reopen"
     start, end = config.names
-    columns = list(dict.fromkeys([ts, *[a.column for a in config.aggregates if a.column]]))
+    values = list(dict.fromkeys(a.column for a in config.aggregates if a.column))
+    names = [f"_k{i}" for i in range(len(keys))]
+    columns = ["_us", *names, *values]
     kinds, whole = {f.name: f.dataType for f in df.schema}, whole_numbers(df)
     results = {"count": T.LongType(), "count_distinct": T.LongType(), "avg": T.DoubleType()}
     kind = lambda a: T.DecimalType(38, 0) if a.kind == "sum" and a.column in whole else results.get(a.kind) or kinds[a.column]
-    schema = T.StructType([*[T.StructField(k, kinds[k]) for k in keys], T.StructField(start, T.TimestampType()), T.StructField(end, T.TimestampType()), *[T.StructField(a.alias, kind(a)) for a in config.aggregates]])
+    schema = T.StructType([*[T.StructField(n, kinds[k]) for n, k in zip(names, keys)], T.StructField("_start", T.LongType()), T.StructField("_end", T.LongType()), *[T.StructField(a.alias, kind(a)) for a in config.aggregates]])
     state = T.StructType([T.StructField("rows", T.BinaryType())])
-    gap, cap = pd.Timedelta(milliseconds=config.gap_ms), pd.Timedelta(milliseconds=config.max_session_duration_ms)
+    gap, cap = config.gap_ms * 1000, config.max_session_duration_ms * 1000
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        wm = held.getCurrentWatermarkMs() * 1000
         rows = [pa.ipc.open_stream(held.get[0]).read_pandas().assign(_new=False)] if held.exists else []
-        for batch in batches:
-            late = held.getCurrentWatermarkMs()
-            rows.append((batch[columns][batch[ts] >= pd.Timestamp(late, unit="ms")] if late else batch[columns]).assign(_new=True))
-        every = pd.concat(rows).sort_values(ts, kind="stable") if rows else pd.DataFrame(columns=[*columns, "_new"])
-        wm = pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms")
-        done, opened, first = [], [], 0
-        times = list(every[ts])
-        for i in range(1, len(times) + 1):
-            ends = i == len(times)
-            capped = not ends and times[i] - times[first] >= cap
-            if ends or capped or times[i] - times[i - 1] > gap:
-                part = every.iloc[first:i]
-                closed = capped or times[i - 1] + gap < wm
-                if part["_new"].any() if reopen else closed:
-                    done.append([*key, times[first], times[i - 1], *_finish(part, config, whole)])
-                if not closed:
-                    opened.append(part[columns])
-                first = i
-        if opened:
-            rest = pd.concat(opened)
-            sink = pa.BufferOutputStream()
-            table = pa.Table.from_pandas(rest, preserve_index=False)
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
+        rows += [(batch[columns][batch["_us"] >= wm] if wm else batch[columns]).assign(_new=True) for batch in batches]
+        rows = [r for r in rows if len(r)]
+        if not rows:
+            return
+        every = pd.concat(rows, ignore_index=True)
+        key, us = every.groupby(names, sort=False, dropna=False).ngroup().to_numpy(), every["_us"].to_numpy()
+        order = np.lexsort((us, key))  # stable
+        every, key, us = every.take(order), key[order], us[order]
+        n, other = len(us), key[1:] != key[:-1]
+        first = np.flatnonzero(np.concatenate(([True], other | (np.diff(us) > gap))))
+        stop = np.append(first[1:], n)
+        cuts = []
+        for k in np.flatnonzero(us[stop - 1] - us[first] >= cap):  # only those that are longer than the cap
+            i, last = first[k], stop[k]
+            while (i := i + np.searchsorted(us[i:last], us[i] + cap)) < last:
+                cuts.append(i)
+        if cuts:
+            first = np.sort(np.concatenate((first, cuts)))
+            stop = np.append(first[1:], n)
+        capped = np.append((key[stop[:-1]] == key[first[:-1]]) & (us[stop[:-1]] - us[first[:-1]] >= cap), False)
+        closed = capped | (us[stop - 1] + gap < wm)
+        given = np.logical_or.reduceat(every["_new"].to_numpy(), first) if reopen else closed
+        opened = np.repeat(~closed, stop - first)
+        if opened.any():
+            rest, sink = pa.Table.from_pandas(every.loc[opened, columns], preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema) as out:
+                out.write_table(rest)
             held.update((sink.getvalue().to_pybytes(),))
-            held.setTimeoutTimestamp(max(int((rest[ts].min() + gap).timestamp() * 1000) + 1, held.getCurrentWatermarkMs() + 1))
+            held.setTimeoutTimestamp(max(int((us[stop - 1][~closed].min() + gap) // 1000), held.getCurrentWatermarkMs(), 1))
         elif held.exists:
             held.remove()
-        yield pd.DataFrame(done, columns=[f.name for f in schema])
+        if given.any():
+            there = np.repeat(given, stop - first)
+            made = {name: every[name].array[first[given]] for name in names} | {"_start": us[first[given]], "_end": us[stop[given] - 1]}
+            yield pd.DataFrame(made | _finish(every[there], np.repeat(np.arange(len(first)), stop - first)[there], config, whole))[[f.name for f in schema]]
 
     mode = "update" if reopen else "append"
-    out = df.select(*keys, *columns).groupBy(*keys).applyInPandasWithState(run, schema, state, mode, GroupStateTimeout.EventTimeTimeout)
+    group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("_group")
+    # null keys go apart, so that a frame's key column is all null or holds none
+    null = [F.col(k).isNull().alias(f"_null{i}") for i, k in enumerate(keys)]
+    rows = df.filter(F.col(ts).isNotNull()).select(*dict.fromkeys([ts, *values]), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), *[F.col(k).alias(n) for n, k in zip(names, keys)], group, *null)
+    out = rows.groupBy("_group", *[f"_null{i}" for i in range(len(keys))]).applyInPandasWithState(run, schema, state, mode, GroupStateTimeout.EventTimeTimeout)
+    out = out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[F.timestamp_micros(at).alias(name) for at, name in (("_start", start), ("_end", end))], *[a.alias for a in config.aggregates])
     return out.select(*keys, start, end, session_id(keys, start), *[a.alias for a in config.aggregates])
 
 

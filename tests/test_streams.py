@@ -332,3 +332,23 @@ def test_topic_letters_and_kafka_messages(spark, tmp_path):
     with pytest.raises(ValueError):
         messages.kafka_messages(bad, format="xml")
     assert callable(messages.kafka_target("h:1", "t"))
+
+
+def test_sessions_cost_a_call_for_each_group_of_keys(spark, tmp_path, feed, monkeypatch):
+    """Many keys, null ones among them, share a few states and are kept apart in them; sums of whole numbers stay exact."""
+    monkeypatch.setattr(events, "GROUPS", 2)
+    schema = "k string, _event_ts timestamp, n long, v double"
+    key = lambda i: None if i == 7 else f"k{i}"
+    first = [(key(i), at(s + i), 2**62 + s, None if s else 1.5) for i in range(40) for s in (0, 10)] + [("k0", None, 1, 1.0)]
+    second = [(key(i), at(s + i), 2**62, 2.5) for i in range(40) for s in (100, 115, 130, 145, 160)]
+    config = WindowConfig("session", ("k",), (Aggregate("count", name="c"), Aggregate("sum", "n", "s"), Aggregate("count", "v", "vs"), Aggregate("last", "v", "last"), Aggregate("avg", "v", "mean")), gap_ms=20_000, max_session_duration_ms=40_000, lateness_ms=0)
+    stream = feed(first, second, [("end", at(9999), 0, 0.0)], schema=schema)
+    path = finish(spark, tmp_path, stream, window=config)
+    have = {tuple(r) for r in spark.read.parquet(f"{path}/out").select("k", "window_start", "window_end", "c", "s", "vs", "last", "mean").collect()}
+    want = set()
+    for i in range(40):
+        want.add((key(i), at(i), at(10 + i), 2, 2**63 + 10, 1, 1.5, 1.5))
+        want.add((key(i), at(100 + i), at(130 + i), 3, 3 * 2**62, 3, 2.5, 2.5))
+        want.add((key(i), at(145 + i), at(160 + i), 2, 2**63, 2, 2.5, 2.5))
+    assert have == want
+    assert spark.read.format("statestore").load(f"{path}/ck", batchId=0).count() <= 4  # two groups, each with null keys and others
