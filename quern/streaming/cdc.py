@@ -63,14 +63,17 @@ def changes(messages: DataFrame, cdc: CDC, schema: str, keys: Sequence[str], val
     are skipped, or with ``schema_evolution="fail"`` raise at run time.
     """
     text = F.col(value).cast("string")
-    op = F.lit(None).cast("string")
+    path = lambda name: _path(text, cdc.part(name)) if cdc.part(name) else F.lit(None).cast("string")
+    parts = F.struct(*[path(name).alias(f"_{name}") for name in ("op", "after", "before", "ts")])
+    # made by a generator, parts are parsed once for each message, not where filters and cases name them
+    found = messages.filter(text.isNotNull() & (text != "")).select(F.inline(F.array(parts)))
+    op, after, before = F.lit(None).cast("string"), F.col("_after"), F.col("_before")
     for name, means in cdc.ops.items():
-        op = F.when(_path(text, cdc.part("op")) == name, means).otherwise(op)
-    after, before = _path(text, cdc.part("after")), _path(text, cdc.part("before")) if cdc.part("before") else F.lit(None).cast("string")
+        op = F.when(F.col("_op") == name, means).otherwise(op)
+    found = found.withColumn("_op", op)
     # a maxwell delete carries the row in data; its old part holds changed columns only
-    body = F.when(op == "delete", F.coalesce(after, before) if cdc.envelope == "maxwell" else F.coalesce(before, after)).otherwise(after)
-    out = messages.filter(text.isNotNull() & (text != "")).select(op.alias("_op"), (_path(text, cdc.part("ts")).cast("long") if cdc.part("ts") else F.lit(None).cast("long")).alias("_ts"), body.alias("_body"))
-    out = out.filter("_op IS NOT NULL AND _body IS NOT NULL")
+    body = F.when(F.col("_op") == "delete", F.coalesce(after, before) if cdc.envelope == "maxwell" else F.coalesce(before, after)).otherwise(after)
+    out = found.select("_op", F.col("_ts").cast("long").alias("_ts"), body.alias("_body")).filter("_op IS NOT NULL AND _body IS NOT NULL")
     row = F.from_json("_body", schema)
     if cdc.schema_evolution == "fail":
         known = F.array(*[F.lit(f.name) for f in messages.sparkSession.createDataFrame([], schema).schema])

@@ -352,3 +352,15 @@ def test_sessions_cost_a_call_for_each_group_of_keys(spark, tmp_path, feed, monk
         want.add((key(i), at(145 + i), at(160 + i), 2, 2**63, 2, 2.5, 2.5))
     assert have == want
     assert spark.read.format("statestore").load(f"{path}/ck", batchId=0).count() <= 4  # two groups, each with null keys and others
+
+
+def test_envelopes_are_parsed_once_and_by_many_tasks(spark):
+    from quern.plans import operator_queries
+
+    log = operator_queries._envelopes(spark, "/root/testdata/sf0.001")
+    assert log.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    for config in (cdc.CDC("debezium"), cdc.CDC("custom", op_field="op", after_field="after", key_field="id", op_map={"c": "create"})):
+        change = cdc.changes(log, config, "id long, name string, balance double", ["id"])
+        plan = change._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("get_json_object") == sum(config.part(name) is not None for name in ("op", "after", "before", "ts"))
+        assert change.filter("_op = 'create'").count() == 150
