@@ -143,8 +143,23 @@ WITH a AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0), b A
 SELECT coalesce(a.k, b.k) AS k, c_name, top FROM a FULL OUTER JOIN b ON a.k = b.k"""
 SQL["join_semi"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 SQL["join_anti"] = "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"
-SQL["join_not_in"] = "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09)"
-SQL["join_not_in_null"] = "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE l_suppkey END FROM lineitem)"
+
+
+def not_in(select: str, key: str, inner: str, column: str) -> tuple[str, str]:
+    """``key NOT IN`` of a query's one column, for Spark as an anti join of distinct keys: its own null-aware join sends all of them to the driver.
+
+    A null among the keys, or a null key beside any, makes NOT IN unknown.
+    """
+    spark = f"""WITH inside AS ({inner}), seen AS (SELECT count(*) AS n, count({column}) AS known FROM inside)
+{select} CROSS JOIN seen WHERE (n = 0 OR n = known AND {key} IS NOT NULL)
+AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {column} FROM inside WHERE {column} IS NOT NULL) k WHERE k.{column} = {key})"""
+    return spark, f"{select} WHERE {key} NOT IN ({inner})"
+
+
+SQL["join_not_in"] = not_in("SELECT s_suppkey FROM supplier", "s_suppkey", "SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09", "l_suppkey")
+_WITH_NULLS = "SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE l_suppkey END FROM lineitem"
+SQL["join_not_in_null"] = not_in("SELECT s_suppkey FROM supplier", "s_suppkey", _WITH_NULLS, "supplied")
+SQL["join_not_in_null"] = (SQL["join_not_in_null"][0].replace("END FROM", "END AS supplied FROM"), SQL["join_not_in_null"][1])
 SQL["join_cross"] = f"SELECT r_name, n_name FROM region CROSS JOIN nation"
 SQL["join_theta"] = f"""
 SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"""
