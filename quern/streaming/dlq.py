@@ -31,6 +31,10 @@ def records(rows: DataFrame, pipeline: str, stage: str, error: str | Column, eve
     return made
 
 
+#: Records that a task of ``DeadLetters.append`` sorts, about.
+RECORDS_A_TASK = 100_000
+
+
 class DeadLetters:
     """A table of dead letters in versioned snapshots: append, browse, take, ack, park, purge."""
 
@@ -42,10 +46,21 @@ class DeadLetters:
         return self.snapshot.spark.createDataFrame([], SCHEMA) if found is None else found
 
     def append(self, rows: DataFrame) -> None:
-        """Add records; one that is there already (same id) counts another attempt."""
-        old, new = self.table(), rows.groupBy("id").agg(*[F.first(c).alias(c) for c in rows.columns if c != "id"]).select(*rows.columns)
-        again = old.join(new.select("id", F.lit(1).alias("_more")), "id", "left").withColumn("attempt", F.col("attempt") + F.coalesce("_more", F.lit(0))).drop("_more").select(*rows.columns)
-        self.snapshot.write(again.unionByName(new.join(old.select("id"), "id", "left_anti")))
+        """Add records; one that is there already (same id) counts another attempt.
+
+        Records are dealt by id to as many tasks as their number asks for, so that what a task sorts does not grow with them.
+        """
+        old, rows = self.snapshot.read(), rows.select(*[f.name for f in T._parse_datatype_string(SCHEMA)])
+        counted = rows.count() + (0 if old is None else old.count())
+        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted // RECORDS_A_TASK))
+        dealt = lambda df: df.repartition(tasks, "id")
+        new = dealt(rows).groupBy("id").agg(*[F.first(c).alias(c) for c in rows.columns if c != "id"]).select(*rows.columns)
+        if old is not None:
+            # by merging: a broadcast of ids goes through the driver
+            old, ids = dealt(old).select(*rows.columns), dealt(rows.select("id")).groupBy("id").agg(F.lit(1).alias("_more"))
+            again = old.join(ids.hint("merge"), "id", "left").withColumn("attempt", F.col("attempt") + F.coalesce("_more", F.lit(0))).select(*rows.columns)
+            new = again.unionByName(new.join(old.select("id").hint("merge"), "id", "left_anti"))
+        self.snapshot.write(new)
 
     def depth(self, pipeline: str | None = None) -> dict[str, int]:
         rows = self.table() if pipeline is None else self.table().filter(F.col("pipeline") == pipeline)

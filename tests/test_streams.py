@@ -364,3 +364,17 @@ def test_envelopes_are_parsed_once_and_by_many_tasks(spark):
         plan = change._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("get_json_object") == sum(config.part(name) is not None for name in ("op", "after", "before", "ts"))
         assert change.filter("_op = 'create'").count() == 150
+
+
+def test_letters_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """No task sorts more records than it should, and none are sent to the driver; equal ones still count as attempts."""
+    monkeypatch.setattr(dlq, "RECORDS_A_TASK", 100)
+    plans = []
+    write = Snapshot.write
+    monkeypatch.setattr(Snapshot, "write", lambda self, df: (plans.append((df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString())), write(self, df))[1])
+    letters = dlq.DeadLetters(Snapshot(spark, str(tmp_path / "dealt")))
+    for low, high in ((0, 1000), (500, 2000)):
+        rows = spark.range(low, high).unionByName(spark.range(low, low + 10))
+        letters.append(dlq.records(rows, "p", "transform", "e" * 500))
+    assert letters.table().groupBy("attempt").count().orderBy("attempt").collect() == [(1, 1500), (2, 500)]
+    assert [n >= 10 for n, _ in plans] == [True, True] and not any("Broadcast" in p for _, p in plans)
